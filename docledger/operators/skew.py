@@ -1,0 +1,29 @@
+"""Splitting keys that hold too many rows for one group."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def with_parts(df: DataFrame, key: str, spread: Sequence[str], max_rows: int) -> DataFrame:
+    """Add ``part``: 0 for ordinary keys, else a stable spread over enough parts.
+
+    Counting reads the key only and sums on the map side. The list of heavy keys is
+    usually empty or tiny; its size is not known beforehand, so the planner chooses
+    between broadcast and shuffle from the measured size.
+    """
+    heavy = (
+        df.groupBy(key)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > max_rows)
+        .select(key, F.ceil(F.col("n") / max_rows).alias("parts"))
+    )
+    part = F.pmod(F.xxhash64(*spread), F.col("parts"))
+    return (
+        df.join(heavy, key, "left")
+        .withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
+        .drop("parts")
+    )
