@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docledger.functions.binding import let
 from docledger.schemas import AMOUNT
 
 # ---- fixed values: amount patterns ----
@@ -17,7 +18,7 @@ MONEY = (
 )
 NUMBER = r"-?\(?\d[\d,]*(?:\.\d+)?\)?"
 CURRENCY_WORD = r"(?iU)\b(?:EUR|USD|GBP)\b"
-CURRENCY_SIGN = r"US\$|[$€£]"
+JOINING_WORD = r"(?i)[,-](?:EUR|USD|GBP)[(,.)]"
 QUANTITY = r"^\d+(?:\.\d+)?$"
 # ---------------------------------------
 
@@ -35,10 +36,19 @@ def parse_decimal(value: Column) -> Column:
 
     ``(12.50)`` is negative; currency signs and words are ignored.
     """
-    bare = F.regexp_replace(F.regexp_replace(value, CURRENCY_SIGN, ""), CURRENCY_WORD, "")
-    number = F.translate(F.regexp_extract(bare, NUMBER, 0), ",", "")
-    signed = F.regexp_replace(number, r"^\((.*)\)$", "-$1")
-    return signed.try_cast(AMOUNT)
+    unsigned = F.translate(F.replace(value, F.lit("US$"), F.lit("")), "$€£", "")
+    # Dropping a currency word only matters where that joins pieces of a number.
+    bare = F.when(
+        unsigned.rlike(JOINING_WORD), F.regexp_replace(unsigned, CURRENCY_WORD, "")
+    ).otherwise(unsigned)
+
+    def convert(number: Column) -> Column:
+        inside = F.substr(number, F.lit(2), F.length(number) - 2)
+        negative = F.when(number.endswith(")"), F.concat(F.lit("-"), inside))
+        signed = F.when(number.startswith("("), negative).otherwise(number)
+        return F.translate(signed, ",", "").try_cast(AMOUNT)
+
+    return let(F.regexp_extract(bare, NUMBER, 0), convert)
 
 
 def decimal_values(line: Column) -> Column:

@@ -42,17 +42,25 @@ FULL_FOLDS = {
 }
 # ------------------------------------------------------------------------------
 
-_WHITE = BREAKS + BLANKS
+
+
+def _white(characters: str) -> str:
+    # The intersection lets the regex engine reject printable ASCII with one test.
+    return rf"[[^!-~]&&[{characters}]]"
 
 
 def _squeeze(text: Column, white: str) -> Column:
     # Matches only what has to change, so ordinary single spaces are not rewritten.
-    return F.regexp_replace(text, rf"[{white}]{{2,}}|[{white}&&[^ ]]", " ")
+    return F.regexp_replace(text, rf"{_white(white)}{{2,}}|[[^ -~]&&[{white}]]", " ")
+
+
+def _without_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\x00"), F.lit("-"))
 
 
 def normalize_line(line: Column) -> Column:
     """NUL to '-', any whitespace run to one space, ends trimmed."""
-    return F.trim(_squeeze(F.translate(line, "\x00", "-"), _WHITE))
+    return F.trim(_squeeze(_without_nul(line), BREAKS + BLANKS))
 
 
 def clean_line_array(text: Column) -> Column:
@@ -61,10 +69,16 @@ def clean_line_array(text: Column) -> Column:
     Whitespace is squeezed and lines are cut over the whole text, inside generated
     code; only the final filter looks at lines one by one.
     """
-    squeezed = F.trim(_squeeze(F.translate(text, "\x00", "-"), BLANKS))
-    lines = F.split(squeezed, rf" ?[{BREAKS}][ {BREAKS}]*")
-    ignored = any_of(IGNORED_LINE_PREFIXES, prefix=True)
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(ignored))
+    squeezed = F.trim(_squeeze(_without_nul(text), BLANKS))
+    lines = F.split(squeezed, rf" ?[[^ -~]&&[{BREAKS}]]{_white(" " + BREAKS)}*")
+
+    def keep(line: Column) -> Column:
+        kept = line != ""
+        for prefix in IGNORED_LINE_PREFIXES:
+            kept = kept & ~line.startswith(prefix)
+        return kept
+
+    return F.filter(lines, keep)
 
 
 def casefold(text: Column) -> Column:
@@ -73,7 +87,8 @@ def casefold(text: Column) -> Column:
     expanded = low
     for letter, plain in FULL_FOLDS.items():
         expanded = F.replace(expanded, F.lit(letter), F.lit(plain))
-    return F.when(low.rlike("[" + "".join(FULL_FOLDS) + "]"), expanded).otherwise(low)
+    special = r"[[^\x00-\x7f]&&[" + "".join(FULL_FOLDS) + "]]"
+    return F.when(low.rlike(special), expanded).otherwise(low)
 
 
 def english_side(line: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.binding import let, position_of
-from docledger.functions.money import parse_decimal
 from docledger.functions.text import casefold, clean_line_array
 from docledger.operators import items as I
 from docledger.operators import lookups as L
@@ -95,27 +94,31 @@ def _missing_amount_after(value: Column, label: str) -> Check:
     return value.isNull(), PARSE, F.lit(f"Missing amount after '{label}'")
 
 
-def _bad_prefix_amount(doc: Doc, prefix: str) -> Check:
+def _bad_prefix_amount(amount: Column, doc: Doc, prefix: str) -> Check:
     text = L.text_for_prefix(doc, prefix)
     message = F.when(text.isNull(), F.lit(f"Missing amount for '{prefix}'")).otherwise(
         I.unreadable(text)
     )
-    return parse_decimal(text).isNull(), PARSE, message
+    return amount.isNull(), PARSE, message
 
 
 def _rows_error(table: Column) -> Check:
     return table["error"].isNotNull(), PARSE, table["error"]
 
 
+def _bound(build: Callable[[Column], Column], **fields: Column) -> Column:
+    """Work out header fields once; both the invoice and its checks use them."""
+    return let(F.struct(*[column.alias(name) for name, column in fields.items()]), build)
+
+
 def sku_header_line(doc: Doc) -> Column:
     return F.regexp_substr(doc.body, F.lit(SKU_HEADER_LINE))
 
 
 def header_sku(doc: Doc) -> Column:
-    line = sku_header_line(doc)
+    amounts = {"subtotal": "Subtotal", "tax": "VAT", "total": "Grand total"}
 
     def build(v: Column) -> Column:
-        table = v["table"]
         group = lambda k: F.regexp_extract(v["line"], SKU_HEADER, k)
         invoice = _invoice(
             F.lit("invoice"),
@@ -125,10 +128,8 @@ def header_sku(doc: Doc) -> Column:
             F.lit("EUR"),
             _party(F.lit(SKU_SELLER[0]), F.lit(SKU_SELLER[1])),
             _party(F.lit(SKU_BUYER[0]), F.lit(SKU_BUYER[1])),
-            table["rows"],
-            L.amount_for_prefix(doc, "Subtotal"),
-            L.amount_for_prefix(doc, "VAT"),
-            L.amount_for_prefix(doc, "Grand total"),
+            v["table"]["rows"],
+            *[v[name] for name in amounts],
         )
         return _outcome(
             invoice,
@@ -139,53 +140,54 @@ def header_sku(doc: Doc) -> Column:
                     PARSE,
                     F.lit("Could not parse global components invoice header"),
                 ),
-                _rows_error(table),
-                _bad_prefix_amount(doc, "Subtotal"),
-                _bad_prefix_amount(doc, "VAT"),
-                _bad_prefix_amount(doc, "Grand total"),
+                _rows_error(v["table"]),
+                *[_bad_prefix_amount(v[name], doc, label) for name, label in amounts.items()],
             ],
         )
 
-    return let(F.struct(line.alias("line"), I.sku_rows(doc).alias("table")), build)
+    return _bound(
+        build,
+        line=sku_header_line(doc),
+        table=I.sku_rows(doc),
+        **{name: L.amount_for_prefix(doc, label) for name, label in amounts.items()},
+    )
 
 
 def header_credit(doc: Doc) -> Column:
-    number, date = L.value_after(doc, "Credit note no."), L.value_after(doc, "Date")
-    customer = L.value_after(doc, "Customer")
+    amounts = {"subtotal": "Subtotal credit", "tax": "VAT credit", "total": "Total credit"}
+    values = {"number": "Credit note no.", "date": "Date", "customer": "Customer"}
 
-    def build(table: Column) -> Column:
+    def build(v: Column) -> Column:
         invoice = _invoice(
             F.lit("credit_note"),
-            number,
-            date,
+            v["number"],
+            v["date"],
             F.lit(""),
             F.lit("EUR"),
             _party(F.lit(CREDIT_SELLER[0]), F.lit(CREDIT_SELLER[1])),
-            _party(customer),
-            table["rows"],
-            L.amount_for_prefix(doc, "Subtotal credit"),
-            L.amount_for_prefix(doc, "VAT credit"),
-            L.amount_for_prefix(doc, "Total credit"),
+            _party(v["customer"]),
+            v["table"]["rows"],
+            *[v[name] for name in amounts],
         )
         return _outcome(
             invoice,
             [
-                _missing_value(number, "Credit note no."),
-                _missing_value(date, "Date"),
-                _missing_value(customer, "Customer"),
-                _rows_error(table),
-                _bad_prefix_amount(doc, "Subtotal credit"),
-                _bad_prefix_amount(doc, "VAT credit"),
-                _bad_prefix_amount(doc, "Total credit"),
+                *[_missing_value(v[name], label) for name, label in values.items()],
+                _rows_error(v["table"]),
+                *[_bad_prefix_amount(v[name], doc, label) for name, label in amounts.items()],
             ],
         )
 
-    return let(I.credit_rows(doc), build)
+    return _bound(
+        build,
+        table=I.credit_rows(doc),
+        **{name: L.value_after(doc, label) for name, label in values.items()},
+        **{name: L.amount_for_prefix(doc, label) for name, label in amounts.items()},
+    )
 
 
-def _bill_to_checks(doc: Doc) -> tuple[Check, Check]:
+def _bill_to_checks(doc: Doc, at: Column) -> tuple[Check, Check]:
     """A missing buyer block is a processing error, unlike other missing labels."""
-    at = position_of(doc.lines, "Bill To")
     return (
         (at.isNull(), PROCESSING, F.lit("'Bill To' is not in list")),
         (at >= F.size(doc.lines), PROCESSING, F.lit("list index out of range")),
@@ -193,74 +195,77 @@ def _bill_to_checks(doc: Doc) -> tuple[Check, Check]:
 
 
 def header_eu(doc: Doc) -> Column:
-    number, date = L.value_after(doc, "Invoice no."), L.value_after(doc, "Invoice date")
-    due, currency = L.value_after(doc, "Due date"), L.value_after(doc, "Currency")
-    amounts = {label: L.amount_after(doc, label) for label in ("Subtotal", "VAT", "Total due")}
-    no_buyer, no_buyer_name = _bill_to_checks(doc)
+    values = {
+        "number": "Invoice no.",
+        "date": "Invoice date",
+        "due": "Due date",
+        "currency": "Currency",
+    }
+    amounts = {"subtotal": "Subtotal", "tax": "VAT", "total": "Total due"}
 
-    def build(table: Column) -> Column:
+    def build(v: Column) -> Column:
+        no_buyer, no_buyer_name = _bill_to_checks(doc, v["bill_to"])
         invoice = _invoice(
             F.lit("invoice"),
-            number,
-            date,
-            due,
-            currency,
+            *[v[name] for name in values],
             _party(F.lit(EU_SELLER), L.first_vat(doc)),
-            _party(L.value_after(doc, "Bill To"), L.buyer_vat(doc)),
-            table["rows"],
-            *amounts.values(),
+            _party(F.get(doc.lines, v["bill_to"]), L.buyer_vat(doc)),
+            v["table"]["rows"],
+            *[v[name] for name in amounts],
         )
         return _outcome(
             invoice,
             [
                 no_buyer,
-                _missing_value(number, "Invoice no."),
-                _missing_value(date, "Invoice date"),
-                _missing_value(due, "Due date"),
-                _missing_value(currency, "Currency"),
+                *[_missing_value(v[name], label) for name, label in values.items()],
                 no_buyer_name,
-                _rows_error(table),
-                *[_missing_amount_after(v, k) for k, v in amounts.items()],
+                _rows_error(v["table"]),
+                *[_missing_amount_after(v[name], label) for name, label in amounts.items()],
             ],
         )
 
-    return let(I.stride_table(doc, "Line total", "Subtotal", 5), build)
+    return _bound(
+        build,
+        bill_to=position_of(doc.lines, "Bill To"),
+        table=I.stride_table(doc, "Line total", "Subtotal", 5),
+        **{name: L.value_after(doc, label) for name, label in values.items()},
+        **{name: L.amount_after(doc, label) for name, label in amounts.items()},
+    )
 
 
 def header_us(doc: Doc) -> Column:
-    number, date = L.value_after(doc, "Invoice #"), L.value_after(doc, "Date")
-    due = L.value_after(doc, "Due")
-    amounts = {
-        label: L.amount_after(doc, label) for label in ("Subtotal", "Sales tax", "Balance due")
-    }
-    no_buyer, no_buyer_name = _bill_to_checks(doc)
+    values = {"number": "Invoice #", "date": "Date", "due": "Due"}
+    amounts = {"subtotal": "Subtotal", "tax": "Sales tax", "total": "Balance due"}
 
-    def build(table: Column) -> Column:
+    def build(v: Column) -> Column:
+        no_buyer, no_buyer_name = _bill_to_checks(doc, v["bill_to"])
         invoice = _invoice(
             F.lit("invoice"),
-            number,
-            date,
-            due,
+            *[v[name] for name in values],
             F.lit("USD"),
             _party(F.lit(US_MARK), None, L.tax_id(doc)),
-            _party(L.value_after(doc, "Bill To")),
-            table["rows"],
-            *amounts.values(),
+            _party(F.get(doc.lines, v["bill_to"])),
+            v["table"]["rows"],
+            *[v[name] for name in amounts],
         )
         return _outcome(
             invoice,
             [
                 no_buyer,
-                _missing_value(number, "Invoice #"),
-                _missing_value(date, "Date"),
-                _missing_value(due, "Due"),
+                *[_missing_value(v[name], label) for name, label in values.items()],
                 no_buyer_name,
-                _rows_error(table),
-                *[_missing_amount_after(v, k) for k, v in amounts.items()],
+                _rows_error(v["table"]),
+                *[_missing_amount_after(v[name], label) for name, label in amounts.items()],
             ],
         )
 
-    return let(I.stride_table(doc, "Amount", "Subtotal", 4), build)
+    return _bound(
+        build,
+        bill_to=position_of(doc.lines, "Bill To"),
+        table=I.stride_table(doc, "Amount", "Subtotal", 4),
+        **{name: L.value_after(doc, label) for name, label in values.items()},
+        **{name: L.amount_after(doc, label) for name, label in amounts.items()},
+    )
 
 
 def header_generic(doc: Doc) -> Column:
@@ -357,7 +362,8 @@ def with_doc_columns(docs: DataFrame, text: str = "text", every_layout: bool = F
     return (
         docs.withColumn("_lines", clean_line_array(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("_body", F.array_join(d.lines, "\n"))
-        .withColumns({"layout": route_layout(d.body), "_folded": casefold(d.body)})
+        .withColumn("layout", route_layout(d.body))
+        .withColumn("_folded", F.when(generic, casefold(d.body)))
         .withColumns(
             {
                 "_low": F.when(generic & (d.body != ""), F.split(d.folded, "\n")).otherwise(empty),

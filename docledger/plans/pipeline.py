@@ -93,37 +93,47 @@ def process_events(
 
     ``events``: event_id, bucket, object_key, output_bucket, received_at.
     ``objects``: bucket, object_key, content, and optionally text and key_slot.
+    Only this lookup moves data; parsing and XML stay in place.
+    """
+    with_buckets = with_event_defaults(events, input_bucket, output_bucket)
+    return process_attached(attach_objects(with_buckets, objects), completed_at, error_bucket)
+
+
+def process_attached(
+    attached: DataFrame, completed_at: Column, error_bucket: str = K.ERROR_BUCKET
+) -> DataFrame:
+    """``process_events`` for events that already carry their object (or found = false).
+
     Ids and times come from the event and the caller's clock, so a retry gives the
-    same rows. Only the object lookup moves data; parsing and XML stay in place.
+    same rows.
     """
     text = (
         F.col("text")
-        if "text" in objects.columns
+        if "text" in attached.columns
         else F.make_valid_utf8(F.col("content").cast("string"))
     )
-    found = attach_objects(with_event_defaults(events, input_bucket, output_bucket), objects)
-    parsed = with_xml(parse_documents(found.withColumn("_text", text), "_text"))
+    parsed = with_xml(parse_documents(attached.withColumn("_text", text), "_text"))
     present = F.col("found")
     missing = F.concat(F.lit("Object not found: "), "bucket", F.lit("/"), "object_key")
-    error_type = F.when(~present, "processing_error").otherwise(F.col("error_type"))
     staged = parsed.withColumns(
         {
             "error_message": F.when(~present, missing).otherwise(F.col("error_message")),
-            "error_type": error_type,
+            "error_type": F.when(~present, "processing_error").otherwise(F.col("error_type")),
         }
     ).withColumn("status", J.classify_outcome(F.col("error_type")))
     ok = F.col("status") == J.SUCCESS
     archived = ~ok & present
+    key = F.col("object_key")
     return staged.select(
-        J.job_id(F.col("bucket"), F.col("object_key"), F.col("event_id").cast("string")).alias("id"),
+        J.job_id(F.col("bucket"), key, F.col("event_id").cast("string")).alias("id"),
         "status",
         F.col("bucket").alias("input_bucket"),
-        F.col("object_key").alias("input_object_key"),
+        key.alias("input_object_key"),
         "output_bucket",
-        K.output_key(F.col("object_key")).alias("output_object_key"),
+        K.output_key(key).alias("output_object_key"),
         F.when(archived, error_bucket).alias("error_bucket"),
-        F.when(archived, K.error_key(F.col("object_key"))).alias("error_object_key"),
-        F.when(archived, K.error_report_key(F.col("object_key"))).alias("error_report_object_key"),
+        F.when(archived, K.error_key(key)).alias("error_object_key"),
+        F.when(archived, K.error_report_key(key)).alias("error_report_object_key"),
         "layout",
         F.when(ok, F.col("invoice")).alias("invoice"),
         F.when(ok, F.col("xml")).alias("xml"),

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from docledger.functions.keys import OUTPUT_BUCKET
 from docledger.operators.jobs import jobs_counts, latest_jobs
-from docledger.plans.pipeline import process_events
+from docledger.plans.pipeline import process_attached, process_events
 from docledger.sources import sinks
 
 POLL_INTERVAL = "30 seconds"  # fixed value: default poll interval
@@ -23,10 +24,8 @@ def trigger(writer: DataStreamWriter, interval: str | None = POLL_INTERVAL) -> D
     return writer.trigger(processingTime=interval)
 
 
-def process_batch(batch: DataFrame, objects: DataFrame, base: str, batch_id: int) -> None:
-    """Outputs, errors and job rows of one batch, each replaced if the batch runs again."""
-    clock = F.lit(datetime.now(UTC))
-    processed = process_events(batch, objects, clock).persist(StorageLevel.MEMORY_AND_DISK)
+def _write_batch(processed: DataFrame, base: str, batch_id: int) -> None:
+    processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sinks.write_outputs(processed, f"{base}/outputs", batch_id)
         sinks.write_errors(processed, f"{base}/errors", batch_id)
@@ -35,6 +34,12 @@ def process_batch(batch: DataFrame, objects: DataFrame, base: str, batch_id: int
         processed.unpersist()
 
 
+def process_batch(batch: DataFrame, objects: DataFrame, base: str, batch_id: int) -> None:
+    """Outputs, errors and job rows of one batch, each replaced if the batch runs again."""
+    clock = F.lit(datetime.now(UTC))
+    _write_batch(process_events(batch, objects, clock), base, batch_id)
+
+
 def process_event_stream(
     events: DataFrame,
     objects: DataFrame,
@@ -55,14 +60,17 @@ def process_inbox_stream(
     """Folder to outputs: a file that was read is its own event and object."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        events = df.select(
+        # The file that was read is both the event and its object: nothing to join.
+        attached = df.select(
             F.col("object_key").alias("event_id"),
             "bucket",
             "object_key",
-            F.lit(None).cast("string").alias("output_bucket"),
+            F.lit(OUTPUT_BUCKET).alias("output_bucket"),
             F.col("modification_time").alias("received_at"),
+            "content",
+            F.lit(True).alias("found"),
         )
-        process_batch(events, df.select("bucket", "object_key", "content"), base, batch_id)
+        _write_batch(process_attached(attached, F.lit(datetime.now(UTC))), base, batch_id)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint)
     return trigger(writer, interval).foreachBatch(batch).start()
