@@ -35,8 +35,10 @@ def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str) -> DataF
 
 def document_lines(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Line table (doc, line_no, line); narrow, no shuffle."""
-    lines = F.posexplode(clean_line_array(F.col(text))).alias("line_no", "line")
-    return docs.select(F.col(doc), lines)
+    # Outer plus a test above it: the inner form would clean every text twice, once for a
+    # pushed-down test that there are lines at all.
+    lines = F.posexplode_outer(clean_line_array(F.col(text))).alias("line_no", "line")
+    return docs.select(F.col(doc), lines).where(F.col("line_no").isNotNull())
 
 
 def page_lines(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docledger.functions import keys as K
 from docledger.operators import jobs as J
 from docledger.operators.layouts import (
+    DOC_COLUMNS,
     LAYOUTS,
     doc_columns,
     with_doc_columns,
@@ -44,14 +45,11 @@ def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     its own layout and nothing is shuffled or read twice. A document that cannot be
     parsed stays a row, with a NULL invoice and its error.
     """
-    parsed = with_doc_columns(docs, text).withColumn("_parsed", _once("parse", _parse_expression))
-    return without_doc_columns(parsed).select(
-        *docs.columns,
-        "layout",
-        F.col("_parsed.invoice").alias("invoice"),
-        F.col("_parsed.error_type").alias("error_type"),
-        F.col("_parsed.error_message").alias("error_message"),
-    )
+    staged = with_doc_columns(docs, text)
+    # A generator over one element keeps the optimizer from copying the parse expression
+    # into later filters and field accesses: each document is parsed exactly once.
+    parsed = F.inline_outer(F.array(_once("parse", _parse_expression)))
+    return without_doc_columns(staged.select(*docs.columns, "layout", *DOC_COLUMNS, parsed))
 
 
 def with_xml(parsed: DataFrame) -> DataFrame:
@@ -60,10 +58,18 @@ def with_xml(parsed: DataFrame) -> DataFrame:
 
 
 def invoice_lines(parsed: DataFrame, doc: str) -> DataFrame:
-    """Line-item table (doc, line_idx, sku, description, ...) of parsed documents."""
-    return parsed.select(
-        F.col(doc), F.posexplode(F.col("invoice.lines")).alias("line_idx", "line")
-    ).select(doc, "line_idx", "line.*")
+    """Line-item table (doc, line_idx, sku, description, ...) of parsed documents.
+
+    The outer form plus a test on its result, because for the inner form the optimizer
+    adds a test of the lines below the generator and would work them out twice.
+    """
+    return (
+        parsed.select(
+            F.col(doc), F.posexplode_outer(F.col("invoice.lines")).alias("line_idx", "line")
+        )
+        .where(F.col("line_idx").isNotNull())
+        .select(doc, "line_idx", "line.*")
+    )
 
 
 def invoice_headers(parsed: DataFrame, doc: str) -> DataFrame:

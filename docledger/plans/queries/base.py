@@ -95,7 +95,8 @@ f AS (SELECT * FROM fe WHERE n > 0)
 
 
 def facts_sql(sql: str) -> str:
-    return f"WITH {FACTS} {sql}"
+    """SQL over the facts; it may go on with further named parts after a comma."""
+    return f"WITH {FACTS}{sql}"
 
 
 def by_kind(kinds: tuple[str, ...], **values: str) -> str:

@@ -95,7 +95,7 @@ lookup(
         ),
     },
     """SELECT doc_key, CAST(sub AS DOUBLE) AS above_total,
-    CAST(year(d) AS DOUBLE) AS above_quantity FROM f""",
+    CAST(sub AS DOUBLE) AS above_quantity FROM f""",
 )
 lookup(
     "last_amount_in_doc",

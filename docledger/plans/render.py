@@ -346,6 +346,8 @@ def stacked_text() -> Column:
             ":",
             c("buyer"),
             F.date_format("d", "MMM d yyyy"),
+            "Standard Class",
+            _after("$", F.format_number("sub", 2)),
             "Balance Due",
             ":",
             "Item",
