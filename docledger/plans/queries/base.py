@@ -115,15 +115,15 @@ LINES_SQL = (
 pieces AS (
   SELECT doc_id, trim(regexp_replace(replace(piece, chr(0), '-'), '["""
     + WHITE
-    + r"""]+', ' ', 'g')) AS line, at
+    + r"""]+', ' ', 'g')) AS line, pos
   FROM (
-    SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS at
+    SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos
     FROM (SELECT doc_id, string_split_regex(text,
       '\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS p FROM documents)
   )
 ),
 lines AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS line_no, line
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_no, line
   FROM pieces
   WHERE line <> '' AND NOT starts_with(line, '--- page ')
     AND NOT starts_with(line, 'Synthetic test invoice') AND NOT starts_with(line, 'Page ')

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -127,13 +126,16 @@ def export_files(outputs: DataFrame, folder: str) -> None:
     """One file per object under a folder all executors share, written then renamed."""
 
     def save(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for row in rows:
-            target = os.path.join(folder, row["bucket"], row["object_key"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            target = f"{root}/{row['bucket']}/{row['object_key']}"
             draft = f"{target}.{uuid.uuid4().hex}.tmp"
-            with open(draft, "wb") as file:
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(draft) as file:
                 file.write(row["content"])
-            os.replace(draft, target)
+            store.move(draft, target)
 
     safe = outputs.select("bucket", K.safe_key(F.col("object_key")).alias("object_key"), "content")
     safe.foreachPartition(save)

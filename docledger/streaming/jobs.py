@@ -84,7 +84,8 @@ def status_latest_stream(
     A job's state is one status and one number, however many log rows it has.
     """
     latest = log.groupBy("id").agg(
-        F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq")
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"),
+        F.max("seq").alias("seq"),
     )
     writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return trigger(writer, interval).foreachBatch(
