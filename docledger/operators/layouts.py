@@ -372,7 +372,3 @@ def with_doc_columns(docs: DataFrame, text: str = "text", every_layout: bool = F
         )
         .withColumn("_plain", F.when(generic, L.plain_lines(d.lines, d.low, d.amounts)))
     )
-
-
-def without_doc_columns(df: DataFrame) -> DataFrame:
-    return df.drop(*DOC_COLUMNS)

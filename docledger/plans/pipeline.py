@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 from docledger.functions import keys as K
 from docledger.operators import jobs as J
 from docledger.operators.layouts import (
-    DOC_COLUMNS,
     LAYOUTS,
     doc_columns,
     with_doc_columns,
-    without_doc_columns,
 )
 from docledger.operators.objects import attach_objects, with_event_defaults
 from docledger.operators.ubl import to_ubl_xml
@@ -45,11 +43,10 @@ def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     its own layout and nothing is shuffled or read twice. A document that cannot be
     parsed stays a row, with a NULL invoice and its error.
     """
-    staged = with_doc_columns(docs, text)
+    parsed = with_doc_columns(docs, text).withColumn("_parsed", _once("parse", _parse_expression))
     # A generator over one element keeps the optimizer from copying the parse expression
     # into later filters and field accesses: each document is parsed exactly once.
-    parsed = F.inline_outer(F.array(_once("parse", _parse_expression)))
-    return without_doc_columns(staged.select(*docs.columns, "layout", *DOC_COLUMNS, parsed))
+    return parsed.select(*docs.columns, "layout", F.inline_outer(F.array("_parsed")))
 
 
 def with_xml(parsed: DataFrame) -> DataFrame:
