@@ -101,8 +101,9 @@ def jobs_update(df: DataFrame, id: Column, seq: int, **values: Column) -> DataFr
 def latest_jobs(log: DataFrame, order: str = "seq", columns: Sequence[str] | None = None) -> DataFrame:
     """One row per job: for each column the latest value that was set.
 
-    ``max_by`` sums up on the map side first, so a job with very many log rows costs no
-    more than others after the shuffle; nothing is sorted.
+    ``max_by`` reduces each job to one row on the map side first, so a job with very
+    many log rows costs no more than others after the shuffle. Ask for few columns where
+    few are needed: the others are then not read.
     """
     names = columns or [c for c in log.columns if c not in ("id", order)]
     return log.groupBy("id").agg(

@@ -95,7 +95,7 @@ def process_events(
     """One row per event with everything the output, error and job tables need.
 
     ``events``: event_id, bucket, object_key, output_bucket, received_at.
-    ``objects``: bucket, object_key, content, and optionally text and key_slot.
+    ``objects``: bucket, object_key, content, and optionally text and a slot column.
     Only this lookup moves data; parsing and XML stay in place.
     """
     with_buckets = with_event_defaults(events, input_bucket, output_bucket)

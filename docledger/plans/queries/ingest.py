@@ -389,7 +389,7 @@ def _(spark, sf):
 def _(spark, sf):
     base = work_folder(spark, "events")
     docs = broken_documents(spark, sf)
-    sinks.write_objects(_stored(docs), f"{base}/objects")
+    sinks.write_objects(_stored(docs), f"{base}/objects", slots=32)
     events = _upload_events(docs)
     events.write.parquet(f"{base}/incoming")
     stream = spark.readStream.schema(events.schema).parquet(f"{base}/incoming")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions import keys as K
 from docledger.operators import jobs as J
-from docledger.operators.objects import key_slot
+from docledger.operators.objects import OBJECT_SLOTS, SLOT_PREFIX, with_key_slot
 
 
 def outputs_of(processed: DataFrame) -> DataFrame:
@@ -100,16 +100,15 @@ def write_jobs(processed: DataFrame, path: str, batch_id: int = 0) -> None:
     write_batch(job_log_of(processed), path, batch_id)
 
 
-def write_objects(objects: DataFrame, path: str) -> None:
+def write_objects(objects: DataFrame, path: str, slots: int = OBJECT_SLOTS) -> None:
     """Object table partitioned by key slot, for ``resolve_objects``.
 
     One bucket may hold most objects, so slots are by key, not by bucket. Rows are
     gathered per slot; a slot spreads over many tasks when it is large (AQE rebalance).
     """
-    slotted = objects.withColumn("key_slot", key_slot(F.col("bucket"), F.col("object_key")))
-    slotted.hint("rebalance", "key_slot").write.mode("overwrite").partitionBy("key_slot").parquet(
-        path
-    )
+    name = f"{SLOT_PREFIX}{slots}"
+    slotted = with_key_slot(objects, slots).hint("rebalance", name)
+    slotted.write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def latest_objects(objects: DataFrame, order: Column) -> DataFrame:
