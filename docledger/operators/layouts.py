@@ -343,7 +343,7 @@ def route_layout(body: Column) -> Column:
     return name
 
 
-DOC_COLUMNS = ("_lines", "_body", "_folded", "_low", "_amounts", "_plain")
+DOC_COLUMNS = ("_lines", "_body", "_folded", "_low", "_amounts")
 
 
 def doc_columns() -> Doc:
@@ -353,7 +353,7 @@ def doc_columns() -> Doc:
 def with_doc_columns(docs: DataFrame, text: str = "text", every_layout: bool = False) -> DataFrame:
     """Add the cleaned forms of each document and its ``layout``.
 
-    Amounts and plain lines are only worked out for the generic layout, the one that
+    Folded lines and amounts are only worked out for the generic layout, the one that
     searches, unless ``every_layout`` asks for them.
     """
     generic = F.lit(True) if every_layout else F.col("layout") == "generic"
@@ -370,5 +370,4 @@ def with_doc_columns(docs: DataFrame, text: str = "text", every_layout: bool = F
                 "_amounts": F.when(generic, L.line_amounts(d.lines)),
             }
         )
-        .withColumn("_plain", F.when(generic, L.plain_lines(d.lines, d.low, d.amounts)))
     )

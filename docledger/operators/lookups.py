@@ -20,6 +20,7 @@ from docledger.functions.binding import (
     blank_to_null,
     first_present,
     last_present,
+    let,
     position_of,
 )
 from docledger.schemas import AMOUNT
@@ -106,21 +107,19 @@ class Doc(NamedTuple):
     folded: Column  # body for case-insensitive tests
     low: Column  # folded, as lines
     amounts: Column  # last readable amount of each line
-    plain: Column  # the line where it is neither separator nor metadata, else NULL
 
 
 def line_amounts(lines: Column) -> Column:
     return F.transform(lines, M.last_decimal)
 
 
-def plain_lines(lines: Column, low: Column, amounts: Column) -> Column:
-    def keep(line: Column, i: Column) -> Column:
-        skip = X.is_separator(line) | X.looks_like_metadata(
-            F.get(low, i), F.get(amounts, i).isNotNull()
-        )
-        return F.when(~skip, line)
-
-    return F.transform(lines, keep)
+def plain_line(doc: Doc, i: Column) -> Column:
+    """Line ``i`` (0-based) where it is neither separator nor metadata, else NULL."""
+    line = F.get(doc.lines, i)
+    skip = X.is_separator(line) | X.looks_like_metadata(
+        F.get(doc.low, i), F.get(doc.amounts, i).isNotNull()
+    )
+    return F.when(~skip, line)
 
 
 # ---- exact labels (fixed layouts) ----
@@ -196,16 +195,19 @@ def section_value(doc: Doc, labels: Sequence[str]) -> Column:
     """
 
     def at(low_line: Column, i: Column) -> Column:
-        below = first_present(F.slice(doc.plain, i + 2, 4))
-        found = []
-        for label in labels:
-            beside = X.value_after_label(F.get(doc.lines, i), low_line, label)
-            value = F.coalesce(F.when(~X.is_label_only(beside), beside), below)
-            found.append(F.when(X.has_label(low_line, label), value))
-        return F.coalesce(*found)
-
-    any_label = doc.folded.rlike(any_of(label.lower() for label in labels))
-    return F.when(any_label, first_present(F.transform(doc.low, at)))
+        def value(below: Column) -> Column:
+            found = []
+            for label in labels:
+                beside = X.value_after_label(F.get(doc.lines, i), low_line, label)
+                usable = F.coalesce(F.when(~X.is_label_only(beside), beside), below)
+                found.append(F.when(X.has_label(low_line, label), usable))
+            return F.coalesce(*found)
+
+        below = F.coalesce(*[plain_line(doc, i + ahead) for ahead in range(1, 5)])
+        return F.when(low_line.rlike(any_label), let(below, value))
+
+    any_label = any_of(label.lower() for label in labels)
+    return F.when(doc.folded.rlike(any_label), first_present(F.transform(doc.low, at)))
 
 
 def inline_amount(doc: Doc, labels: Sequence[str]) -> Column:
