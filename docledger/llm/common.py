@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,19 @@ ALNUM = bytes(
 )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_docledger_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="docledger-code-")) / "docledger.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as held:
+            for file in sorted(package.rglob("*.py")):
+                held.write(file, Path(package.name) / file.relative_to(package))
+        context.addPyFile(str(archive))
+        context._docledger_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import ALNUM, Scratch, bytes_of, free_name
+from docledger.llm.common import ALNUM, Scratch, bytes_of, free_name, ship
 
 WINDOW = 13
 #: Bytes of benchmark text that one set of search tables holds; more text takes further passes.
@@ -116,6 +116,7 @@ def find_benchmark(
     count, an empty benchmark leaves all documents clean. Rows are never grouped, so repeated rows and
     null ids are kept. Columns of `docs` with the names of the results are replaced.
     """
+    ship(docs.sparkSession)
     found, known = free_name(docs, "found"), free_name(docs, "known")
     result = "struct<n_words: long, hit_spans: array<int>, items: array<string>>"
     items = benchmark.where(F.col(item_id).isNotNull()).select(

@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from docledger.llm import queries_text  # noqa: F401
+from docledger.llm import queries_models, queries_text  # noqa: F401
 from docledger.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import Scratch, slices
+from docledger.llm.common import Scratch, ship, slices
 
 CHUNK_BITS = 8
 RANK_GROUP = 512
@@ -154,6 +154,7 @@ def write_tokens(
     follow each other ordered by text; an empty table gives a folder without rows. Other columns are
     left out, whatever their names.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     parts = spark.conf.get("spark.sql.shuffle.partitions")
 
@@ -207,6 +208,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def document_tokens(segments: DataFrame) -> DataFrame:
     """One row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
+    ship(segments.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
