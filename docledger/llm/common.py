@@ -101,8 +101,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to so many rows, so that Python lists of long texts stay small."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to so many rows or, about, bytes, so that Python lists of long texts stay small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        each = batch.nbytes // max(batch.num_rows, 1) + 1
+        step = max(1, min(rows, size // each))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)

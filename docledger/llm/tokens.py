@@ -8,6 +8,7 @@ nothing before it is decoded. A file row is one segment: consecutive whole docum
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +24,9 @@ CHUNK_BITS = 8
 RANK_GROUP = 512
 #: A segment ends with the first document that takes it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a worker remembers; beyond, it starts anew.
-CACHED_WORDS = 200_000
-LONGEST_CACHED = 64
+#: Parts of words that one generation of a worker's memory holds, and the longest that it keeps.
+CACHED_PARTS = 250_000
+LONGEST_CACHED = 48
 
 SEGMENT = (
     "part int, segment int, first_id long, n_ids long, doc_id array<long>, doc_end array<long>, "
@@ -99,16 +100,24 @@ class Dac:
 
 
 _ENCODERS: dict = {}
+#: Ends of words that are encoded apart from the letters before them: no rule of the vocabulary joins the two.
+ENDS = ".,;:!?*#$%&)"
 
 
 class Encoder:
-    """Ids of whole texts. White space ends a token in this vocabulary, so words are encoded once each."""
+    """Ids of whole texts.
+
+    White space ends a token in this vocabulary, and so does the change from letters to the marks in
+    `ENDS`. So a text is cut to words, words to letters and their end, and each part is encoded once. Parts
+    used lately stay in two generations of bounded size.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -116,26 +125,44 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        codes = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(words, codes)}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of a text."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if not new:
-            return b"".join([known[w] for w in words])
-        codes = self._new(new)
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-        known.update((w, c) for w, c in codes.items() if len(w) <= LONGEST_CACHED)
-        return b"".join([codes[w] if w in codes else known[w] if w in known else self._one(w) for w in words])
-
-    def _one(self, word: str) -> bytes:
-        self.known.update(self._new([word]))
-        return self.known[word]
+    @staticmethod
+    def parts(word: str) -> tuple[str, ...]:
+        letters = word.rstrip(ENDS)
+        if not letters.isalpha():
+            return (word,)
+        if letters.isascii():
+            letters = letters.lower()
+        elif not unicodedata.normalize("NFC", letters).lower().isalpha():
+            return (word,)  # a mark comes out of a letter and would join the end
+        return (letters, word[len(letters) :]) if len(letters) < len(word) else (letters,)
+
+    def known(self, part: str) -> bytes | None:
+        code = self.young.get(part)
+        if code is None:
+            code = self.old.get(part)
+            if code is not None:
+                self._keep(part, code)
+        return code
+
+    def _keep(self, part: str, code: bytes) -> None:
+        if len(self.young) >= CACHED_PARTS:
+            self.young, self.old = {}, self.young
+        if len(part) <= LONGEST_CACHED:
+            self.young[part] = code
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text."""
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = {w: self.parts(w) for w in set().union(*cut)}
+        codes: dict[str, bytes | None] = {p: self.known(p) for p in set().union(*split.values())}
+        new = [p for p, code in codes.items() if code is None]
+        for start in range(0, len(new), 10_000):
+            some = new[start : start + 10_000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                codes[part] = code = np.array(found.ids, "<u4").tobytes()
+                self._keep(part, code)
+        whole = {w: b"".join([codes[p] for p in parts]) for w, parts in split.items()}
+        return [b"".join([whole[w] for w in words]) for words in cut]
 
 
 def write_tokens(
@@ -173,8 +200,9 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in slices(batches):
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes.append(encoder.encode((body or "")) + end)
+            found = encoder.encode([body or "" for body in batch.column(1).to_pylist()])
+            for name, code in zip(batch.column(0).to_pylist(), found):
+                codes.append(code + end)
                 size += len(codes[-1]) // 4
                 names.append(name)
                 ends.append(size)
@@ -202,7 +230,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    with_start = segments.join(starts, "part")
+    # As many rows as the writer had range partitions: a setting, not a size of the data.
+    with_start = segments.join(F.broadcast(starts), "part")
     return with_start.withColumn("start", F.col("part_start") + F.col("first_id")).drop("part_start")
 
 
