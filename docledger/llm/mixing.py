@@ -88,10 +88,10 @@ def mix(
     times; null ids take part; identical rows are taken one after the other, and which of them is the one
     at the border makes no difference; an empty table gives no rows. Columns of `docs` with the names of
     the results are replaced. A source may hold any share of the rows: running sums run over bins of
-    the hash, then inside each bin.
+    the hash, and only the one bin in which a source's sample ends is shuffled and put in order.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    names = ("hash", "text_hash", "bin", "source", "bin2", "rest", "epochs", "before", "first")
+    names = ("hash", "text_hash", "bin", "source", "bin2", "rest", "epochs", "before", "upto", "first")
     own = {n: free_name(docs, f"mix_{n}") for n in names}
     order = F.md5(
         F.concat_ws(
@@ -122,17 +122,23 @@ def mix(
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         bins.withColumn(own["before"], F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .withColumn(own["upto"], F.col(own["before"]) + F.col("n"))
         .withColumnRenamed("bin", own["bin2"])
         .join(targets, F.col("source").eqNullSafe(F.col(own["source"])))
         .drop("source", "n")
     )
     same = F.col(source).eqNullSafe(F.col(own["source"])) & (F.col(own["bin"]) == F.col(own["bin2"]))
     joined = sized.drop("source_size", "target", "taken").join(plan, same)
+    # Only the bin in which the sample of a source ends needs its documents in order.
+    border = (F.col(own["before"]) < F.col(own["rest"])) & (F.col(own["rest"]) < F.col(own["upto"]))
     inside = Window.partitionBy(own["source"], own["bin"]).orderBy(
         own["hash"], F.col(doc_id).asc_nulls_last(), "size", own["text_hash"]
     )
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    joined = joined.withColumn(own["first"], F.col(own["before"]) + F.coalesce(upto, F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col(own["rest"]) - F.col(own["first"])))
+    earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = own["first"]
+    ordered = joined.where(border).withColumn(first, F.col(own["before"]) + earlier)
+    clear = joined.where(~border).withColumn(first, F.col(own["before"]))
+    room = F.greatest(F.lit(0), F.col(own["rest"]) - F.col(first))
+    part = F.when(F.col(own["upto"]) <= F.col(own["rest"]), F.col("size")).otherwise(F.least(F.col("size"), room))
     taken = F.col(own["epochs"]) * F.col("size") + part
-    return joined.withColumn("taken", taken.cast("long")).drop(*own.values())
+    return ordered.unionByName(clear).withColumn("taken", taken.cast("long")).drop(*own.values())
