@@ -8,6 +8,7 @@ first block) names the windows that may end there, and a direct comparison confi
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -122,35 +123,23 @@ def find_benchmark(
     items = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("string").alias("id"), bytes_of(item_text).alias("body")
     )
-    spark, passes, scratch = docs.sparkSession, [[]], None
-    size = 0
+    scratch, kept, waiting, size = Scratch(docs.sparkSession, "decontaminate"), None, [], 0
     for row in items.toLocalIterator():
-        if size + len(row.body) > pass_bytes and passes[-1]:
-            passes.append([])
-            size = 0
-        passes[-1].append((row.id, bytes(row.body)))
+        if waiting and size + len(row.body) > pass_bytes:  # the driver, too, holds the text of one pass only
+            done = scratch.keep(_searched(docs, waiting, text, window, found, known, result), "pass")
+            if kept is not None:
+                scratch.drop(kept)
+            docs = kept = done
+            waiting, size = [], 0
+        waiting.append((row.id, bytes(row.body)))
         size += len(row.body)
-        if len(passes) > 1:  # the driver, too, holds the text of one pass only
-            docs, scratch = _pass(docs, passes.pop(0), text, window, found, known, result, scratch)
-    shared = spark.sparkContext.broadcast(searchers_input(passes[-1]))
-    return _finished(_searched(docs, shared, text, window, found, known, result), found)
+    return _finished(_searched(docs, waiting, text, window, found, known, result), found)
 
 
-def searchers_input(items: list[tuple[str, bytes]]) -> list[tuple[str, bytes]]:
-    return [(item, body) for item, body in items if words(body)]
+def _searched(docs, items, text, window, found, known, result) -> DataFrame:
+    # The key tells a worker which tables it has built already.
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
 
-
-def _pass(docs, items, text, window, found, known, result, scratch):
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "decontaminate")
-    shared = spark.sparkContext.broadcast(searchers_input(items))
-    done = scratch.keep(_searched(docs, shared, text, window, found, known, result), "pass")
-    if hasattr(docs, "_scratch_path"):
-        scratch.drop(docs)
-    return done, scratch
-
-
-def _searched(docs, shared, text, window, found, known, result) -> DataFrame:
     @F.pandas_udf(result)
     def scan(bodies: pd.Series) -> pd.DataFrame:
         tables = tables_of(shared, window)
@@ -185,10 +174,10 @@ _TABLES: dict = {}
 
 def tables_of(shared, window: int) -> list[Searcher]:
     """The tables of this worker, built once for each broadcast."""
-    key = (id(shared), window)
+    key, items = shared.value
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = searchers(shared.value, window)
+        _TABLES[key] = searchers(items, window)
     return _TABLES[key]
 
 
