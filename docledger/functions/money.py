@@ -22,6 +22,9 @@ JOINING_WORD = r"(?i)[,-](?:EUR|USD|GBP)[(,.)]"
 QUANTITY = r"^\d+(?:\.\d+)?$"
 # ---------------------------------------
 
+# More fraction digits than AMOUNT has, other than zeros.
+TOO_FINE = r"\.\d{6}0*[1-9]"
+
 # A number is readable when it has no parenthesis, or a balanced pair around it.
 _READABLE = r"^(?:[^()]*|[^()-]*\([^()]+\)[^()]*)$"
 
@@ -34,7 +37,8 @@ def money_tokens(line: Column) -> Column:
 def parse_decimal(value: Column) -> Column:
     """First number of a text as a decimal; NULL when there is none or it is malformed.
 
-    ``(12.50)`` is negative; currency signs and words are ignored.
+    ``(12.50)`` is negative; currency signs and words are ignored. A number that AMOUNT can't hold
+    to its last digit is unreadable, too: nothing is rounded here.
     """
     unsigned = F.translate(F.replace(value, F.lit("US$"), F.lit("")), "$€£", "")
     # Dropping a currency word only matters where that joins pieces of a number.
@@ -46,7 +50,8 @@ def parse_decimal(value: Column) -> Column:
         inside = F.substr(number, F.lit(2), F.length(number) - 2)
         negative = F.when(number.endswith(")"), F.concat(F.lit("-"), inside))
         signed = F.when(number.startswith("("), negative).otherwise(number)
-        return F.translate(signed, ",", "").try_cast(AMOUNT)
+        digits = F.translate(signed, ",", "")
+        return F.when(~digits.rlike(TOO_FINE), digits.try_cast(AMOUNT))
 
     return let(F.regexp_extract(bare, NUMBER, 0), convert)
 

@@ -42,6 +42,8 @@ NO_TEXT = "Unclassified charges"
 JOINER = " - "
 # ----------------------
 
+# Every text that a row pattern matches ends like this; only those are worth the pattern.
+ROW_END = r"[\d,]\)?\s*(?:EUR|USD|GBP)?$"
 _CUT = "\x1f"  # cannot occur in a cleaned line
 ROW_TYPE = (
     "struct<sku:string,description:string,quantity:decimal(28,6),unit_price:decimal(28,6),"
@@ -67,15 +69,38 @@ def _row(
     sku: Column | None = None,
     error: Column | None = None,
 ) -> Column:
-    return F.struct(
-        (F.lit(None).cast("string") if sku is None else sku).alias("sku"),
-        description.alias("description"),
+    nothing = F.lit(None).cast("string")
+
+    def checked(v: Column) -> Column:
+        rate = v["rate"].try_cast(RATE)
+        exact = F.when(rate == v["rate"], rate)
+        complete = (
+            v["quantity"].isNotNull()
+            & v["unit_price"].isNotNull()
+            & exact.isNotNull()
+            & v["line_total"].isNotNull()
+        )
+        lost = F.when(
+            v["rate"].isNotNull() & exact.isNull(), unreadable(M.plain_number(v["rate"]))
+        ).otherwise(F.lit("Could not parse decimal value"))
+        return F.struct(
+            (nothing if sku is None else sku).alias("sku"),
+            description.alias("description"),
+            v["quantity"].alias("quantity"),
+            v["unit_price"].alias("unit_price"),
+            exact.alias("vat_rate"),
+            v["line_total"].alias("line_total"),
+            F.when(~complete, F.coalesce(nothing if error is None else error, lost)).alias("error"),
+        )
+
+    # No row is left incomplete without saying so.
+    values = F.struct(
         quantity.cast(AMOUNT).alias("quantity"),
         unit_price.cast(AMOUNT).alias("unit_price"),
-        vat_rate.try_cast(RATE).alias("vat_rate"),
+        vat_rate.cast(AMOUNT).alias("rate"),
         line_total.cast(AMOUNT).alias("line_total"),
-        (F.lit(None).cast("string") if error is None else error).alias("error"),
     )
+    return let(values, checked)
 
 
 def _no_rows() -> Column:
@@ -125,31 +150,15 @@ def _cells_row(doc: Doc, at: Column, cells: int, incomplete: str, first: int, ra
         ]
     )
     rate_value = number[2] if rate is None else F.lit(rate).cast(AMOUNT)
-    row = _row(
+    return _row(
         value(0),
         number[0],
         number[1],
         rate_value,
         number[-1],
         sku=F.get(doc.lines, at) if first else None,
+        error=broken,
     )
-    complete = row["quantity"].isNotNull()
-    for name in ("unit_price", "vat_rate", "line_total"):
-        complete = complete & row[name].isNotNull()
-
-    # The error text is only worked out for rows that miss something.
-    def checked(r: Column) -> Column:
-        ok = (
-            r["quantity"].isNotNull()
-            & r["unit_price"].isNotNull()
-            & r["vat_rate"].isNotNull()
-            & r["line_total"].isNotNull()
-        )
-        return F.when(ok, r).otherwise(
-            r.withField("error", F.coalesce(broken, F.lit("Could not parse decimal value")))
-        )
-
-    return let(row, checked)
 
 
 def _table(rows: Column, empty: str) -> Column:
@@ -279,7 +288,7 @@ def _price_cells(line: Column) -> Column:
         cut(NUMBER_ROW, 4),
         lambda c: F.when(F.size(c) == 4, F.concat(F.array(F.lit(None).cast("string")), c)),
     )
-    return F.when(line.rlike(r"\d\)?(?: ?(?:EUR|USD|GBP))?$"), F.coalesce(inline, number))
+    return F.when(line.rlike(ROW_END), F.coalesce(inline, number))
 
 
 def compact_table(doc: Doc) -> Column:

@@ -107,8 +107,8 @@ def process_attached(
 ) -> DataFrame:
     """``process_events`` for events that already carry their object (or found = false).
 
-    Ids and times come from the event and the caller's clock, so a retry gives the
-    same rows.
+    Ids and start times come from the event, the end from the caller's clock. A success always
+    has its XML: an invoice that can't be written as such is an error.
     """
     text = (
         F.col("text")
@@ -118,10 +118,15 @@ def process_attached(
     parsed = with_xml(parse_documents(attached.withColumn("_text", text), "_text"))
     present = F.col("found")
     missing = F.concat(F.lit("Object not found: "), "bucket", F.lit("/"), "object_key")
+    unwritten = F.col("error_type").isNull() & F.col("xml").isNull()
     staged = parsed.withColumns(
         {
-            "error_message": F.when(~present, missing).otherwise(F.col("error_message")),
-            "error_type": F.when(~present, "processing_error").otherwise(F.col("error_type")),
+            "error_message": F.when(~present, missing)
+            .when(unwritten, "Invoice has a field without a value")
+            .otherwise(F.col("error_message")),
+            "error_type": F.when(~present | unwritten, "processing_error").otherwise(
+                F.col("error_type")
+            ),
         }
     ).withColumn("status", J.classify_outcome(F.col("error_type")))
     ok = F.col("status") == J.SUCCESS

@@ -347,7 +347,7 @@ _OUTPUT_SQL = """SELECT 'inv-output' AS bucket, 'in/' || doc_key || '.xml' AS ob
 @query("write_outputs", facts_sql(_OUTPUT_SQL))
 def _(spark, sf):
     path = work_folder(spark, "outputs")
-    sinks.write_outputs(_processed(spark, sf), path)
+    sinks.write_outputs(_processed(spark, sf), path, "run")
     return spark.read.parquet(path).select("bucket", "object_key", "content_type")
 
 
@@ -363,7 +363,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = work_folder(spark, "errors")
-    sinks.write_errors(_processed(spark, sf), path)
+    sinks.write_errors(_processed(spark, sf), path, "run")
     return spark.read.parquet(path).select("error_bucket", "error_object_key", "report")
 
 
@@ -373,7 +373,7 @@ _JOBS_SQL = f"""SELECT 'in/' || doc_key || '.pdf' AS input_object_key, {STATUS_S
 
 
 def _job_view(spark, path):
-    return latest_jobs(spark.read.parquet(path).drop("batch_id")).select(
+    return latest_jobs(sinks.job_log(spark, path)).select(
         "input_object_key", "status", text(F.col("invoice_number"), "invoice_number")
     )
 
@@ -381,7 +381,9 @@ def _job_view(spark, path):
 @query("write_jobs", facts_sql(_JOBS_SQL))
 def _(spark, sf):
     path = work_folder(spark, "jobs")
-    sinks.write_jobs(_processed(spark, sf), path)
+    docs = broken_documents(spark, sf)
+    sinks.write_started(with_event_defaults(_upload_events(docs)), path, "run")
+    sinks.write_jobs(_processed(spark, sf), path, "run")
     return _job_view(spark, path)
 
 
@@ -394,11 +396,46 @@ def _(spark, sf):
     events.write.parquet(f"{base}/incoming")
     stream = spark.readStream.schema(events.schema).parquet(f"{base}/incoming")
     S.process_event_stream(
-        stream, spark.read.parquet(f"{base}/objects"), base, f"{base}/checkpoint", interval=None
+        stream, f"{base}/objects", base, f"{base}/checkpoint", interval=None
     ).awaitTermination()
     return _job_view(spark, f"{base}/jobs")
 
 
+@query(
+    "outputs_of_two_runs",
+    facts_sql(f"""SELECT 'first' AS run_id, object_key, document FROM ({{0}}) UNION ALL
+      SELECT 'second', object_key, document FROM ({{0}})""".replace(
+        "{0}",
+        """SELECT 'in/' || doc_key || '.xml' AS object_key, 'INV-' || doc_key AS document
+        FROM f WHERE k % 6 = 0""",
+    )),
+)
+def _(spark, sf):
+    """Two runs over the same events keep their outputs apart; each file holds its own document."""
+    path = work_folder(spark, "two-runs")
+    for run in ("first", "second"):
+        sinks.write_outputs(_processed(spark, sf), path, run)
+    number = F.regexp_extract(F.col("content").cast("string"), "<cbc:ID>([^<]*)</cbc:ID>", 1)
+    return spark.read.parquet(path).select("run_id", "object_key", number.alias("document"))
+
+
+@query("put_then_notify", facts_sql(_JOBS_SQL))
+def _(spark, sf):
+    """Objects and events come in two steps; the second objects are stored after the first batch."""
+    base = work_folder(spark, "put-then-notify")
+    docs = broken_documents(spark, sf)
+    events = _upload_events(docs)
+    late = F.crc32("object_key") % 2 == 1
+    for step, part in enumerate((~late, late)):
+        sinks.write_objects(_stored(docs).where(part), f"{base}/objects", slots=32, append=step > 0)
+        events.where(part).write.mode("append").parquet(f"{base}/incoming")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/incoming")
+        S.process_event_stream(
+            stream, f"{base}/objects", base, f"{base}/checkpoint", interval=None
+        ).awaitTermination()
+    return _job_view(spark, f"{base}/jobs")
+
+
 def _status_stream(spark, sf) -> str:
     base = work_folder(spark, "status")
     log = event_log(spark, sf).select("id", "status", "seq")

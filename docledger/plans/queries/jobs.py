@@ -115,7 +115,7 @@ def _(spark, sf):
     )
 
 
-@query("jobs_recent", _LOG + "SELECT id, status FROM job ORDER BY started_at DESC, id LIMIT 500")
+@query("jobs_recent", _LOG + "SELECT id, status FROM job ORDER BY started_at DESC, id LIMIT 9999")
 def _(spark, sf):
     return J.jobs_recent(latest(spark, sf), 9999).select("id", "status")
 
@@ -133,7 +133,7 @@ def _(spark, sf):
 @query(
     "dashboard_kpis",
     _LOG
-    + """SELECT least(count(*), 200) AS total, count(*) FILTER (status = 'SUCCESS') AS success,
+    + """SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success,
     count(*) FILTER (status IN ('ERROR', 'PARSE_ERROR')) AS failed,
     count(*) FILTER (status = 'PROCESSING') AS processing FROM job""",
 )

@@ -115,7 +115,7 @@ NUMBER = by_kind(
     compact="'INV-' || doc_key",
     stacked="doc_key",
     receipt="doc_key",
-    bilingual="'CSI-' || strftime(d, '%y') || '-' || lpad(doc_key, 9, '0')",
+    bilingual="'HB-' || strftime(d, '%y') || '-' || lpad(doc_key, 9, '0')",
 )
 DATE = by_kind(
     GENERIC,
@@ -190,7 +190,7 @@ lookup(
     GENERIC,
     lambda doc: {"description": F.coalesce(L.description(doc), F.lit(""))},
     "SELECT doc_key, "
-    + by_kind(GENERIC, compact="''", stacked="'Item'", receipt="''", bilingual="'Charging service'")
+    + by_kind(GENERIC, compact="''", stacked="'Item'", receipt="''", bilingual="'Berth service'")
     + " AS description FROM f",
 )
 lookup(
@@ -375,7 +375,7 @@ _LABELED = """SELECT doc_key, 0::BIGINT AS line_idx, '' AS sku,
   UNION ALL SELECT doc_key, 1, '', CASE WHEN adjustment < 0 THEN 'Promotion Amount'
   ELSE 'Adjustment' END, 1.0, CAST(adjustment AS DOUBLE), 0.0, CAST(adjustment AS DOUBLE)
   FROM f WHERE {where}"""
-_FALLBACK = """SELECT doc_key, 0::BIGINT AS line_idx, '' AS sku, 'Charging service' AS description,
+_FALLBACK = """SELECT doc_key, 0::BIGINT AS line_idx, '' AS sku, 'Berth service' AS description,
   1.0::DOUBLE AS quantity, CAST(sub AS DOUBLE) AS unit_price, 21.0::DOUBLE AS vat_rate,
   CAST(sub AS DOUBLE) AS line_total FROM f WHERE {where}"""
 

@@ -198,7 +198,7 @@ def _(spark, sf):
 
 def _labelled(spark, sf):
     return order_facts(spark, sf).withColumn(
-        "line", F.concat(F.lit("Paslaugų gavėjas / CUSTOMER #: "), "buyer", F.lit(" -"))
+        "line", F.concat(F.lit("Kunde / CUSTOMER #: "), "buyer", F.lit(" -"))
     )
 
 

@@ -10,9 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.operators.skew import with_parts
-
-MAX_LINES_PER_DOCUMENT = 5000
 DIGITS, LETTERS = "0123456789", "bcdfghjklm"
 
 
@@ -79,15 +76,13 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_facts(spark: SparkSession, sf_dir: str, with_empty: bool = False) -> DataFrame:
     """One row per document: order fields, ordered ``rows`` and their sums.
 
-    An order with very many lines becomes several documents, so no group outgrows a
-    page run; ``with_empty`` also keeps orders without lines.
+    An order is one document, however many lines it has, as a document is one row for the
+    parser; ``with_empty`` also keeps orders without lines.
     """
     lines = line_facts(spark, sf_dir)
     fields = [c for c in lines.columns if c not in ("k", *LINE_ORDER)]
     grouped = (
-        with_parts(lines, "k", [*LINE_ORDER, *fields], MAX_LINES_PER_DOCUMENT)
-        .groupBy("k", "part")
-        .agg(
+        lines.groupBy("k").agg(
             F.array_sort(F.collect_list(F.struct(*LINE_ORDER, *fields))).alias("rows"),
             F.sum("total").cast("decimal(18,2)").alias("sub"),
             F.sum(F.col("total") * F.col("rate")).alias("tax_times_100"),
@@ -97,16 +92,12 @@ def document_facts(spark: SparkSession, sf_dir: str, with_empty: bool = False) -
     tax = (F.round("tax_times_100", 0).cast("decimal(22,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(
         "decimal(18,2)"
     )
-    part = F.coalesce("part", F.lit(0))
     return (
         order_facts(spark, sf_dir)
         .join(grouped, "k", "left" if with_empty else "inner")
         .withColumns(
             {
-                "doc_key": F.concat(
-                    F.col("k").cast("string"),
-                    F.when(part > 0, F.concat(F.lit("-"), part.cast("string"))).otherwise(""),
-                ),
+                "doc_key": F.col("k").cast("string"),
                 "n": F.coalesce(F.size("rows"), F.lit(0)),
                 "rows": F.when(F.col("rows").isNotNull(), F.col("rows")).otherwise(F.array()),
                 "sub": F.coalesce("sub", zero),
@@ -346,7 +337,7 @@ def stacked_text() -> Column:
             ":",
             c("buyer"),
             F.date_format("d", "MMM d yyyy"),
-            "Standard Class",
+            "Crate by rail",
             _after("$", F.format_number("sub", 2)),
             "Balance Due",
             ":",
@@ -377,7 +368,7 @@ def receipt_text() -> Column:
             _after("Official Receipt / Tax Invoice #: ", _s(c("k"))),
             _after("Prepared on Behalf of your Test Sponsor: ", c("seller")),
             _after("Company Name: ", c("buyer")),
-            "Candidate Name: A. Person",
+            "Candidate Name: M. Keel",
             "Exam Name: Practical Assessment",
             _after("Scheduled Date: ", F.date_format("due", "d MMMM yyyy")),
             _after("Transaction Date: ", F.date_format("d", "d MMMM yyyy")),
@@ -398,20 +389,20 @@ def bilingual_text() -> Column:
     return _page(
         _lines(
             F.concat(
-                F.lit("PVM sąskaita faktūra / Invoice CSI-"),
+                F.lit("Rechnung / Invoice HB-"),
                 F.date_format("d", "yy"),
                 F.lit("-"),
                 F.lpad(_s(c("k")), 9, "0"),
             ),
             F.date_format("d", "yyyy-MM-dd"),
-            "Paslaugų tiekėjas / Supplier",
+            "Lieferant / Supplier",
             c("seller"),
-            "Paslaugų gavėjas / Customer",
+            "Kunde / Customer",
             c("buyer"),
-            "Krovimo paslauga / Charging service",
-            _after("Iš viso be PVM / Total excl. VAT € ", _s(c("sub"))),
-            _after("21% PVM / 21% VAT € ", _s(c("tax"))),
-            _after("Iš viso su PVM / Total incl. VAT € ", _s(c("gross"))),
+            "Liegeplatz / Berth service",
+            _after("Netto / Total excl. VAT € ", _s(c("sub"))),
+            _after("21% MwSt / 21% VAT € ", _s(c("tax"))),
+            _after("Brutto / Total incl. VAT € ", _s(c("gross"))),
         )
     )
 

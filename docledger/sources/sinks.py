@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import keys as K
 from docledger.operators import jobs as J
-from docledger.operators.objects import OBJECT_SLOTS, SLOT_PREFIX, with_key_slot
+from docledger.operators.objects import (
+    OBJECT_SLOTS,
+    SLOT_PREFIX,
+    STORED_AT,
+    latest_objects,
+    with_key_slot,
+)
 
 
 def outputs_of(processed: DataFrame) -> DataFrame:
@@ -45,18 +52,22 @@ def errors_of(processed: DataFrame) -> DataFrame:
     )
 
 
-def job_log_of(processed: DataFrame) -> DataFrame:
-    """Start and end row of every job."""
-    created = J.jobs_create(
-        processed,
-        F.col("id"),
-        F.col("input_bucket"),
-        F.col("input_object_key"),
-        F.col("started_at"),
+def started_jobs(events: DataFrame) -> DataFrame:
+    """The first log row of every event's job; known before anything is read or parsed."""
+    return J.jobs_create(
+        events,
+        J.job_id(F.col("bucket"), F.col("object_key"), F.col("event_id").cast("string")),
+        F.col("bucket"),
+        F.col("object_key"),
+        F.col("received_at"),
     )
+
+
+def finished_jobs(processed: DataFrame) -> DataFrame:
+    """The last log row of every job."""
     done = J.SUCCESS == F.col("status")
     only_done = lambda name: F.when(done, F.col(name))
-    completed = J.jobs_complete(
+    return J.jobs_complete(
         processed,
         F.col("id"),
         F.col("status"),
@@ -74,51 +85,58 @@ def job_log_of(processed: DataFrame) -> DataFrame:
         error_message=F.col("error_message"),
         error_log=F.col("error_message"),
     )
-    return created.unionByName(completed)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Write one batch; writing it again replaces it."""
+def write_batch(df: DataFrame, path: str, run: str, batch_id: int, *partitions: str) -> None:
+    """Write one batch of a run; writing it again replaces it, and no other run's rows."""
     (
-        df.withColumn("batch_id", F.lit(batch_id))
+        df.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *partitions)
+        .partitionBy("run_id", "batch_id", *partitions)
         .parquet(path)
     )
 
 
-def write_outputs(processed: DataFrame, path: str, batch_id: int = 0) -> None:
-    write_batch(outputs_of(processed), path, batch_id, "bucket")
+def write_outputs(processed: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Output objects; of several for one key the job that started last wins."""
+    ranked = outputs_of(processed).join(processed.select("id", "started_at"), "id")
+    last = latest_objects(ranked, F.struct("started_at", "id")).drop("started_at")
+    write_batch(last, path, run, batch_id, "bucket")
 
 
-def write_errors(processed: DataFrame, path: str, batch_id: int = 0) -> None:
-    write_batch(errors_of(processed), path, batch_id)
+def write_errors(processed: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    write_batch(errors_of(processed), path, run, batch_id)
 
 
-def write_jobs(processed: DataFrame, path: str, batch_id: int = 0) -> None:
-    write_batch(job_log_of(processed), path, batch_id)
+def write_started(events: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Jobs as PROCESSING, from events with their buckets; call it before the documents are parsed."""
+    write_batch(started_jobs(events).withColumn("phase", F.lit(0)), path, run, batch_id, "phase")
 
 
-def write_objects(objects: DataFrame, path: str, slots: int = OBJECT_SLOTS) -> None:
+def write_jobs(processed: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Final rows of the jobs."""
+    write_batch(finished_jobs(processed).withColumn("phase", F.lit(1)), path, run, batch_id, "phase")
+
+
+def job_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log rows that ``write_started`` and ``write_jobs`` wrote."""
+    return spark.read.parquet(path).drop("run_id", "batch_id", "phase")
+
+
+def write_objects(
+    objects: DataFrame, path: str, slots: int = OBJECT_SLOTS, append: bool = False
+) -> None:
     """Object table partitioned by key slot, for ``resolve_objects``.
 
     One bucket may hold most objects, so slots are by key, not by bucket. Rows are
     gathered per slot; a slot spreads over many tasks when it is large (AQE rebalance).
+    ``append`` adds objects to the table; of several for one key the last written counts.
     """
     name = f"{SLOT_PREFIX}{slots}"
-    slotted = with_key_slot(objects, slots).hint("rebalance", name)
-    slotted.write.mode("overwrite").partitionBy(name).parquet(path)
-
-
-def latest_objects(objects: DataFrame, order: Column) -> DataFrame:
-    """Last write per (bucket, object_key)."""
-    rest = [c for c in objects.columns if c not in ("bucket", "object_key")]
-    return (
-        objects.groupBy("bucket", "object_key")
-        .agg(F.max_by(F.struct(*rest), order).alias("last"))
-        .select("bucket", "object_key", "last.*")
-    )
+    stamped = objects.withColumn(STORED_AT, F.lit(time.time_ns()))
+    slotted = with_key_slot(stamped, slots).hint("rebalance", name)
+    slotted.write.mode("append" if append else "overwrite").partitionBy(name).parquet(path)
 
 
 def export_files(outputs: DataFrame, folder: str) -> None:

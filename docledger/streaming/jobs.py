@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from docledger.functions.keys import OUTPUT_BUCKET
 from docledger.operators.jobs import jobs_counts, latest_jobs
-from docledger.plans.pipeline import process_attached, process_events
+from docledger.operators.objects import attach_objects, with_event_defaults
+from docledger.plans.pipeline import process_attached
 from docledger.sources import sinks
 
 POLL_INTERVAL = "30 seconds"  # fixed value: default poll interval
@@ -24,33 +26,55 @@ def trigger(writer: DataStreamWriter, interval: str | None = POLL_INTERVAL) -> D
     return writer.trigger(processingTime=interval)
 
 
-def _write_batch(processed: DataFrame, base: str, batch_id: int) -> None:
-    processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sinks.write_outputs(processed, f"{base}/outputs", batch_id)
-        sinks.write_errors(processed, f"{base}/errors", batch_id)
-        sinks.write_jobs(processed, f"{base}/jobs", batch_id)
-    finally:
-        processed.unpersist()
+def run_of(checkpoint: str) -> str:
+    """Name of a stream's run: batch numbers start again only with another checkpoint."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
-def process_batch(batch: DataFrame, objects: DataFrame, base: str, batch_id: int) -> None:
-    """Outputs, errors and job rows of one batch, each replaced if the batch runs again."""
+def _write_batch(
+    attached: Callable[[], DataFrame], events: DataFrame, base: str, run: str, batch_id: int
+) -> None:
+    """PROCESSING rows, then one table of results, then the three tables derived from it.
+
+    The result table is in the shared folder, so a lost executor costs no second parse.
+    """
+    sinks.write_started(events, f"{base}/jobs", run, batch_id)
     clock = F.lit(datetime.now(UTC))
-    _write_batch(process_events(batch, objects, clock), base, batch_id)
+    path = f"{base}/processed/run_id={run}/batch_id={batch_id}"
+    process_attached(attached(), clock).write.mode("overwrite").parquet(path)
+    processed = events.sparkSession.read.parquet(path)
+    sinks.write_outputs(processed, f"{base}/outputs", run, batch_id)
+    sinks.write_errors(processed, f"{base}/errors", run, batch_id)
+    sinks.write_jobs(processed, f"{base}/jobs", run, batch_id)
+
+
+def process_batch(
+    batch: DataFrame, objects: str | DataFrame, base: str, run: str, batch_id: int
+) -> None:
+    """Outputs, errors and job rows of one batch, each replaced if the batch runs again.
+
+    ``objects`` as a path is opened now, so objects stored since the last batch are found.
+    """
+    held = batch.sparkSession.read.parquet(objects) if isinstance(objects, str) else objects
+    events = with_event_defaults(batch)
+    _write_batch(lambda: attach_objects(events, held), events, base, run, batch_id)
 
 
 def process_event_stream(
     events: DataFrame,
-    objects: DataFrame,
+    objects: str | DataFrame,
     base: str,
     checkpoint: str,
     interval: str | None = POLL_INTERVAL,
 ):
-    """Start the event stream; see ``process_events`` for the columns."""
+    """Start the event stream; see ``process_events`` for the columns.
+
+    Give ``objects`` as the path of a table that ``write_objects`` keeps adding to; a DataFrame
+    is for a store that no longer changes.
+    """
     writer = events.writeStream.option("checkpointLocation", checkpoint)
     return trigger(writer, interval).foreachBatch(
-        lambda batch, batch_id: process_batch(batch, objects, base, batch_id)
+        lambda batch, batch_id: process_batch(batch, objects, base, run_of(checkpoint), batch_id)
     ).start()
 
 
@@ -70,7 +94,7 @@ def process_inbox_stream(
             "content",
             F.lit(True).alias("found"),
         )
-        _write_batch(process_attached(attached, F.lit(datetime.now(UTC))), base, batch_id)
+        _write_batch(lambda: attached, attached.drop("content"), base, run_of(checkpoint), batch_id)
 
     writer = files.writeStream.option("checkpointLocation", checkpoint)
     return trigger(writer, interval).foreachBatch(batch).start()
@@ -89,7 +113,7 @@ def status_latest_stream(
     )
     writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return trigger(writer, interval).foreachBatch(
-        lambda df, batch_id: sinks.write_batch(df, path, batch_id)
+        lambda df, batch_id: sinks.write_batch(df, path, run_of(checkpoint), batch_id)
     ).start()
 
 

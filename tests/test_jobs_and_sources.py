@@ -1,5 +1,6 @@
 import datetime
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -8,7 +9,6 @@ from docledger.operators import jobs as J
 from docledger.operators.extensions import drop_copies
 from docledger.operators.lines import assemble_pages, document_lines, page_lines
 from docledger.operators.objects import resolve_objects
-from docledger.operators.skew import with_parts
 from docledger.plans.queries.ingest import _processed
 from docledger.schemas import MAIL
 from docledger.sources import events as E
@@ -74,7 +74,7 @@ def test_inbox_stream_matches_batch(spark, tmp_path):
         S.process_inbox_stream(
             inbox.stream_inbox(spark, str(folder)), base, str(tmp_path / "cp"), interval=None
         ).awaitTermination()
-    jobs = J.latest_jobs(spark.read.parquet(f"{base}/jobs").drop("batch_id"))
+    jobs = J.latest_jobs(sinks.job_log(spark, f"{base}/jobs"))
     assert {(r["input_object_key"], r["status"]) for r in jobs.collect()} == {
         ("a b.pdf", "SUCCESS"), ("r.pdf", "SUCCESS"), ("bad.pdf", "PARSE_ERROR"),
     }
@@ -90,9 +90,9 @@ def test_inbox_stream_matches_batch(spark, tmp_path):
 def test_batch_write_is_repeatable(spark, tmp_path):
     df = spark.range(5).withColumn("bucket", F.lit("b"))
     for _ in range(2):
-        for batch in (0, 1):
-            sinks.write_batch(df, str(tmp_path / "t"), batch, "bucket")
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+        for run, batch in (("a", 0), ("a", 1), ("b", 0)):
+            sinks.write_batch(df, str(tmp_path / "t"), run, batch, "bucket")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 15
 
 
 def test_processing_is_repeatable(spark):
@@ -112,15 +112,56 @@ def test_page_lines_agree_with_assembled_text(spark):
     assert direct.exceptAll(whole).count() == 0
 
 
-def test_heavy_keys_are_split_and_whole(spark):
-    df = spark.range(10_000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id"
+EVENT = "event_id string, bucket string, object_key string, output_bucket string, received_at timestamp"
+
+
+def test_event_stream_finds_objects_stored_after_its_start(spark, tmp_path):
+    base, store = str(tmp_path / "out"), str(tmp_path / "objects")
+    put = lambda key, text, append: sinks.write_objects(
+        spark.createDataFrame([("inv-input", key, text.encode())], "bucket string, object_key string, content binary"),
+        store, slots=8, append=append,
     )
-    parts = with_parts(df, "k", ["id"], 500)
-    sizes = parts.groupBy("k", "part").count()
-    assert parts.count() == 10_000
-    assert sizes.where("k = 0").count() == 7
-    assert sizes.agg(F.max("count")).first()[0] < 700
+    events = spark.createDataFrame([], EVENT)
+    put("a.pdf", "hello", False)
+    for key, text in (("a.pdf", EU), ("b.pdf", RECEIPT), ("B.PDF", EU)):
+        put(key, text, True)
+        event = spark.createDataFrame([(key, None, key, None, T0)], EVENT)
+        event.write.mode("append").parquet(str(tmp_path / "events"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+        S.process_event_stream(stream, store, base, str(tmp_path / "cp"), interval=None).awaitTermination()
+    log = sinks.job_log(spark, f"{base}/jobs")
+    assert log.where("status = 'PROCESSING'").count() == 3
+    assert {(r["input_object_key"], r["status"]) for r in J.latest_jobs(log).collect()} == {
+        ("a.pdf", "SUCCESS"), ("b.pdf", "SUCCESS"), ("B.PDF", "SUCCESS"),
+    }
+
+
+def test_only_the_slots_of_the_events_are_read(spark, tmp_path):
+    store = str(tmp_path / "objects")
+    objects = spark.range(200).select(
+        F.lit("b").alias("bucket"), F.col("id").cast("string").alias("object_key"), F.lit(b"x").alias("content")
+    )
+    sinks.write_objects(objects, store, slots=64)
+    events = spark.createDataFrame([("b", "7"), ("b", "7"), ("b", "none")], "bucket string, object_key string")
+    found, missing = resolve_objects(events, spark.read.parquet(store))
+    assert (found.count(), missing.count()) == (2, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and re.search(r"key_slot_64#\d+ (IN|=)", plan)
+
+
+def test_last_job_wins_an_output_key(spark, tmp_path):
+    rows = [("1", "SUCCESS", "o", "a.xml", "<old/>", T0), ("2", "SUCCESS", "o", "a.xml", "<new/>", T0 + datetime.timedelta(1))]
+    processed = spark.createDataFrame(
+        rows, "id string, status string, output_bucket string, output_object_key string, xml string, started_at timestamp"
+    )
+    sinks.write_outputs(processed, str(tmp_path / "t"), "run")
+    (row,) = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert bytes(row["content"]) == b"<new/>" and row["id"] == "2"
+
+
+def test_rows_without_content_are_no_copies(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "id int, t string")
+    assert {r["id"] for r in drop_copies(df, "id", "t").collect()} == {1, 2, 3}
 
 
 def test_drop_copies_of_one_hot_text(spark):
