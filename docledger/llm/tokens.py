@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ CHUNK_BITS = 8
 RANK_GROUP = 512
 #: A segment ends with the first document that takes it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Parts of words that one generation of a worker's memory holds, and the longest that it keeps.
-CACHED_PARTS = 250_000
+#: Words, and parts of words, that one generation of a worker's memory holds, and the longest that it keeps.
+CACHED_WORDS, CACHED_PARTS = 350_000, 250_000
 LONGEST_CACHED = 48
 
 SEGMENT = (
@@ -104,20 +105,36 @@ _ENCODERS: dict = {}
 ENDS = ".,;:!?*#$%&)"
 
 
+class Lately:
+    """Codes used lately, in two generations of bounded size."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        code = self.young.get(text)
+        return self.old.get(text) if code is None else code
+
+    def keep(self, codes: dict[str, bytes]) -> None:
+        if len(self.young) + len(codes) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update({t: c for t, c in codes.items() if len(t) <= LONGEST_CACHED})
+
+
 class Encoder:
     """Ids of whole texts.
 
     White space ends a token in this vocabulary, and so does the change from letters to the marks in
-    `ENDS`. So a text is cut to words, words to letters and their end, and each part is encoded once. Parts
-    used lately stay in two generations of bounded size.
+    `ENDS`. So a text is cut to words, words to letters and their end, and each part is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.parts = Lately(CACHED_WORDS), Lately(CACHED_PARTS)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -126,43 +143,59 @@ class Encoder:
         return _ENCODERS[path]
 
     @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
+    def cut(word: str) -> tuple[str, str]:
+        """A word as letters and their end, or as a whole and nothing."""
         letters = word.rstrip(ENDS)
         if not letters.isalpha():
-            return (word,)
+            return word, ""
+        end = word[len(letters) :]
         if letters.isascii():
-            letters = letters.lower()
-        elif not unicodedata.normalize("NFC", letters).lower().isalpha():
-            return (word,)  # a mark comes out of a letter and would join the end
-        return (letters, word[len(letters) :]) if len(letters) < len(word) else (letters,)
-
-    def known(self, part: str) -> bytes | None:
-        code = self.young.get(part)
-        if code is None:
-            code = self.old.get(part)
-            if code is not None:
-                self._keep(part, code)
-        return code
-
-    def _keep(self, part: str, code: bytes) -> None:
-        if len(self.young) >= CACHED_PARTS:
-            self.young, self.old = {}, self.young
-        if len(part) <= LONGEST_CACHED:
-            self.young[part] = code
+            return letters.lower(), end
+        if not unicodedata.normalize("NFC", letters).lower().isalpha():
+            return word, ""  # a mark comes out of a letter and would join the end
+        return letters, end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        split = {w: self.parts(w) for w in set().union(*cut)}
-        codes: dict[str, bytes | None] = {p: self.known(p) for p in set().union(*split.values())}
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        get = self.words.young.get
+        codes = [list(map(get, own)) for own in words]
+        new = {w for own, found in zip(words, codes) if None in found for w, c in zip(own, found) if c is None}
+        if not new:
+            return list(map(b"".join, codes))
+        known = self._codes(new)
+        return [
+            b"".join(found) if None not in found else b"".join([known[w] if c is None else c for w, c in zip(own, found)])
+            for own, found in zip(words, codes)
+        ]
+
+    def _codes(self, words: set[str]) -> dict[str, bytes]:
+        """Codes of words that are not among the youngest."""
+        out: dict[str, bytes] = {}
+        waiting: list[tuple[str, str, str]] = []
+        old, part, cut = self.words.old.get, self.parts.get, self.cut
+        young_part = self.parts.young.get
+        for word in words:
+            code = old(word)
+            if code is None:
+                letters, end = cut(word)
+                first, second = young_part(letters), young_part(end)
+                if first is None or second is None:
+                    waiting.append((word, letters, end))
+                    continue
+                code = first + second
+            out[word] = code
+        codes = {p: part(p) for p in {p for w in waiting for p in w[1:]}}
         new = [p for p, code in codes.items() if code is None]
         for start in range(0, len(new), 10_000):
             some = new[start : start + 10_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                codes[part] = code = np.array(found.ids, "<u4").tobytes()
-                self._keep(part, code)
-        whole = {w: b"".join([codes[p] for p in parts]) for w, parts in split.items()}
-        return [b"".join([whole[w] for w in words]) for words in cut]
+            for p, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                codes[p] = array("I", found.ids).tobytes()
+        for word, letters, end in waiting:
+            out[word] = codes[letters] + codes[end]
+        self.parts.keep(codes)
+        self.words.keep(out)
+        return out
 
 
 def write_tokens(
