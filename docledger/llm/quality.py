@@ -9,6 +9,7 @@ words. Two facets are judged apart: form (is it running text?) and tone (does it
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from operator import eq
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from docledger.llm.common import bytes_of, free_name, ship
 
 GOOD, BAD, NONE = "g", "b", "-"
-#: Hashed features, documents that the scorers are fitted on (the smallest hashes), and distinct words
-#: of each of those that count.
+#: Hashed features, documents that the scorers are fitted on (about so many, chosen by hash, and never
+#: more than twice as many), and words of each of those that count.
 FEATURES = 1 << 16
 FIT_ROWS = 12_000
 FIT_WORDS = 2_000
@@ -49,11 +50,10 @@ INSULTS_OTHER = frozenset(
 )
 
 MARKS = re.compile(rb"[#$%&*!?~^|<>=+_@]{2,}")
-LARGE, SMALL = re.compile(rb"[A-Z]{2,}"), re.compile(rb"[^\x00-\x7F]+|[a-z]+")
 AROUND = b".,;:!?#$%&*()\"'|"
 FORM = (
     "symbols", "marked_words", "capitals", "line_words", "common_words", "sentences", "word_length", "variety",
-    "repeated_words", "repeated_runs",
+    "repeated_words", "compressible",
 )
 TONE = ("insulted_person", "insult", "insult_density")
 
@@ -68,24 +68,26 @@ def _by(value: float, good: float, bad: float) -> str:
 class Words:
     """What is known of words, remembered for words used lately."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.held = most, {}
 
-    def of(self, word: bytes) -> tuple:
-        """(bare word, its flags, hashed feature of the word or -1, hashed feature of its shape)"""
-        found = self.held.get(word)
-        if found is None:
+    def new(self, word: bytes) -> tuple[bytes, int, int, int, int]:
+        """The bare word, its flags and length, and the hashed features of the word and its shape."""
+        if word.isalpha():
+            bare, marked, ends = word.lower(), False, False
+        else:
             bare = word.strip(AROUND).lower()
-            marked = MARKS.search(word) is not None or not bare
-            flags = (not marked and bare in COMMON) | marked << 1 | (word[-1:] in b".!?" and not marked) << 2
-            flags |= (bare in INSULTS_PERSON) << 3 | (bare in INSULTS_OTHER) << 4
-            shape = SMALL.sub(b"a", LARGE.sub(b"AA", word))[:12]
-            at = xxhash.xxh3_64_intdigest(b"w" + bare) % FEATURES if bare else -1
-            found = (bare, flags, at, xxhash.xxh3_64_intdigest(b"s" + shape) % FEATURES)
-            if len(self.held) >= self.most:
-                self.held.clear()
-            if len(word) < 64:
-                self.held[word] = found
+            marked = not bare or MARKS.search(word) is not None
+            ends = not marked and word[-1:] in b".!?"
+        flags = (not marked and bare in COMMON) | marked << 1 | ends << 2
+        flags |= (bare in INSULTS_PERSON) << 3 | (bare in INSULTS_OTHER) << 4
+        at = xxhash.xxh3_64_intdigest(bare) % FEATURES
+        shape = xxhash.xxh3_64_intdigest(b"s" + word[-6:].translate(SHAPE)) % FEATURES
+        found = (bare, flags, len(bare), at, shape)
+        if len(self.held) >= self.most:
+            self.held.clear()
+        if len(word) < 48:
+            self.held[word] = found
         return found
 
 
@@ -98,22 +100,14 @@ def described(body: bytes, hashed: bool = True) -> tuple[str, str, np.ndarray, n
     n = len(words)
     if not n:
         return NONE * len(FORM), NONE * len(TONE), np.zeros(0, np.int64), np.zeros(0)
-    of, counts = _WORDS.of, Counter(words)
-    flags, bare, length = [0] * 32, set(), 0
-    weights: dict[int, int] = {}
-    for word, k in counts.items():
-        plain, flag, at, shape = of(word)
-        flags[flag] += k
-        bare.add(plain)
-        length += len(plain) * k
-        if hashed:
-            if at >= 0:
-                weights[at] = weights.get(at, 0) + k
-            weights[shape] = weights.get(shape, 0) + k
-    common, marked, ends, person, other = (sum(c for f, c in enumerate(flags) if f >> bit & 1) for bit in range(5))
+    counts, new = Counter(words), _WORDS.new
+    known = [found or new(word) for word, found in zip(counts, map(_WORDS.held.get, counts))]
+    k = np.fromiter(counts.values(), np.int64, len(counts))
+    flags = np.bincount([x[1] for x in known], weights=k, minlength=32)
+    common, marked, ends, person, other = (float(flags[BITS[i]].sum()) for i in range(5))
+    length = float(np.dot([x[2] for x in known], k))
+    kinds = len({x[0] for x in known})
     equal = sum(map(eq, words, words[1:]))
-    triples = n - 2 - len(set(zip(words, words[1:], words[2:]))) if n > 2 else 0
-    weights[REPEATED] = weights.get(REPEATED, 0) + equal
     upper, lower = len(body.translate(None, NOT_UPPER)), len(body.translate(None, NOT_LOWER))
     lines = [x for x in body.split(b"\n") if x.strip()]
     short = sum(1 for x in lines if len(x) < 200 and len(x.split()) <= 2)
@@ -125,18 +119,20 @@ def described(body: bytes, hashed: bool = True) -> tuple[str, str, np.ndarray, n
         _by(common / n, 0.06, 0.01) if n >= 30 else NONE,
         _by(ends / n, 0.02, 0.002) if n >= 30 else NONE,
         _by(length / n, 12, 20) if n >= 10 else NONE,
-        _by(len(bare) / n, 0.2, 0.08) if 50 <= n < 3000 else NONE,
+        _by(kinds / n, 0.2, 0.08) if 50 <= n < 3000 else NONE,
         _by(equal / n, 0.05, 0.3) if n >= 8 else NONE,
-        _by(triples / n, 0.15, 0.5) if n >= 12 else NONE,
+        _by(len(zlib.compress(body, 1)) / len(body), 0.3, 0.18) if len(body) >= 250 else NONE,
     )
     tone = (
         BAD if person else GOOD,
         BAD if other else GOOD,
         GOOD if not person + other else BAD if (person + other) * 200 >= n or person + other >= 2 else NONE,
     )
-    x = np.sqrt(np.fromiter(weights.values(), float, len(weights)))
-    x /= max(np.sqrt((x * x).sum()), 1e-9)
-    return "".join(form), "".join(tone), np.fromiter(weights, np.int64, len(weights)), x
+    if not hashed:
+        return "".join(form), "".join(tone), np.zeros(0, np.int64), np.zeros(0)
+    at, place = np.unique([REPEATED, *(x[3] for x in known), *(x[4] for x in known)], return_inverse=True)
+    x = np.sqrt(np.bincount(place, weights=np.concatenate([[equal], k, k])))
+    return "".join(form), "".join(tone), at, x / max(np.sqrt((x * x).sum()), 1e-9)
 
 
 def votes(body: bytes) -> tuple[str, str]:
@@ -148,6 +144,10 @@ def features(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ALL = bytes(range(256))
+#: Flags, by the bits that they set.
+BITS = [np.array([f for f in range(32) if f >> bit & 1]) for bit in range(5)]
+#: Letters by case, digits as one; everything else stays.
+SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in _ALL)
 NOT_UPPER = bytes(b for b in _ALL if not 65 <= b <= 90)
 NOT_LOWER = bytes(b for b in _ALL if not 97 <= b <= 122)
 NOT_SYMBOL = bytes(b for b in _ALL if b not in b"#$%&*~^|<>=+_@{}[]\\")
@@ -234,7 +234,7 @@ def _voted(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Label models from the votes on all documents; scorers from the `fit_rows` documents of least hash.
+    """Label models from the votes on all documents; scorers from about `fit_rows` documents chosen by hash.
 
     There are at most 3 ** labellers patterns of votes, so their counts have a fixed bound. Empty
     tables give models that find nothing bad.
@@ -253,9 +253,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows:
         found = [features(b" ".join(b.split()[:FIT_WORDS])) for b in bodies]
         return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in found], "x": [x.astype(np.float32) for _, x in found]})
 
-    rank = F.xxhash64("id", F.length("text"))
-    sample = body.withColumn("h", rank).orderBy("h", "id").limit(fit_rows)
-    sample = _voted(sample, "text", "v").select("v", hashed(bytes_of("text")).alias("f"))
+    # The hash is spread evenly, so this share of its range holds about `fit_rows` rows; the limit holds
+    # where rows repeat. It counts feature rows, not texts.
+    share = min(1.0, fit_rows / max(sum(patterns["form"].values()), 1))
+    chosen = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = _voted(body.where(chosen), "text", "v").select("v", hashed(bytes_of("text")).alias("f")).limit(2 * fit_rows)
     rows, marks = [], {"form": [], "tone": []}
     for row in sample.toLocalIterator():
         rows.append((np.array(row.f.at, np.int64), np.array(row.f.x)))
