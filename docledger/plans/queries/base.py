@@ -39,10 +39,13 @@ def text(column: Column, name: str) -> Column:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder all executors can reach; a local one only where none is configured."""
+    """A new folder in spark.checkpoint.dir, which all executors reach; where that is unset, as on a
+    single machine, the session gets a folder of its own once."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="docledger-")
-    return f"{base.rstrip('/')}/docledger/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='docledger-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/docledger/{name}-{uuid.uuid4().hex}"
 
 
 def staged(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, Doc]:

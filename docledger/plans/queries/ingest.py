@@ -13,6 +13,7 @@ from docledger.operators.lines import assemble_pages
 from docledger.operators.objects import resolve_objects, with_event_defaults
 from docledger.plans.pipeline import process_events
 from docledger.plans.queries.base import facts_sql, query, text, work_folder
+from docledger.plans.queries.invoices import XML_SQL
 from docledger.plans.queries.jobs import _LOG, event_log
 from docledger.plans.queries.parse import (
     ERROR_SQL,
@@ -20,6 +21,7 @@ from docledger.plans.queries.parse import (
     TYPE_SQL,
     broken_documents,
 )
+from docledger.plans.queries.text import PAGE_SQL
 from docledger.plans.render import table
 from docledger.sources import events as E
 from docledger.sources import inbox, mail, sinks
@@ -27,8 +29,8 @@ from docledger.streaming import jobs as S
 
 # ---- folders ----
 
-_INBOX_SQL = """SELECT DISTINCT 'inv-input' AS bucket, 'conv-' || conv_id || '.pdf' AS object_key
-FROM conversations"""
+_INBOX_SQL = f"""SELECT 'inv-input' AS bucket, 'conv-' || conv_id || '.pdf' AS object_key,
+  sha256(text) AS content_sha256 FROM ({PAGE_SQL})"""
 
 
 def _fill_inbox(spark, sf) -> str:
@@ -50,13 +52,16 @@ def _fill_inbox(spark, sf) -> str:
 
 @query("scan_inbox", _INBOX_SQL)
 def _(spark, sf):
-    return inbox.scan_inbox(spark, _fill_inbox(spark, sf)).select("bucket", "object_key")
+    found = inbox.scan_inbox(spark, _fill_inbox(spark, sf))
+    return found.select("bucket", "object_key", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query("stream_inbox", _INBOX_SQL)
 def _(spark, sf):
     out = work_folder(spark, "stream-inbox")
-    files = inbox.stream_inbox(spark, _fill_inbox(spark, sf)).select("bucket", "object_key")
+    files = inbox.stream_inbox(spark, _fill_inbox(spark, sf)).select(
+        "bucket", "object_key", F.sha2("content", 256).alias("content_sha256")
+    )
     writer = files.writeStream.option("checkpointLocation", f"{out}/checkpoint")
     S.trigger(writer, None).format("parquet").start(f"{out}/objects").awaitTermination()
     return spark.read.parquet(f"{out}/objects")
@@ -100,6 +105,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "dead_letters",
+    """SELECT event_id, raw FROM (SELECT event_id, CASE WHEN event_id % 5 = 0
+        THEN '{"object_key":"doc-' || user_id || '.pdf"}'
+        ELSE '{"bucket":"' || CASE WHEN event_id % 5 = 1 THEN '' ELSE 'b1' END
+          || '","object_key":"doc-' || user_id || '.pdf"}' END AS body FROM events) t,
+      LATERAL (SELECT substr(body, 1, length(body) - 3) AS raw) WHERE event_id % 7 = 0""",
+)
+def _(spark, sf):
+    """What could not be read as an event is kept as it came."""
+    _good, dead = E.split_events(E.parse_events(_raw_events(spark, sf), "value"))
+    return dead.select("event_id", F.col("value").alias("raw"))
+
+
 @query(
     "with_event_defaults",
     """SELECT event_id, CASE WHEN event_id % 5 > 1 THEN 'b1' ELSE 'inv-input' END AS bucket,
@@ -207,11 +226,12 @@ def _(spark, sf):
 @query(
     "mail_objects",
     _MAIL
-    + """SELECT 'inv-input' AS bucket, prefix || filename AS object_key, mailbox, message_id
-      FROM pdf""",
+    + """SELECT 'inv-input' AS bucket, prefix || filename AS object_key, mailbox, message_id,
+      sha256(text) AS content_sha256 FROM pdf""",
 )
 def _(spark, sf):
-    return mail.mail_objects(_mail(spark, sf)).drop("content")
+    found = mail.mail_objects(_mail(spark, sf))
+    return found.withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
 @query(
@@ -340,15 +360,18 @@ def _(spark, sf):
     )
 
 
-_OUTPUT_SQL = """SELECT 'inv-output' AS bucket, 'in/' || doc_key || '.xml' AS object_key,
-  'application/xml' AS content_type FROM f WHERE k % 6 = 0"""
+# The XML itself is part of the comparison.
+_OUTPUT_SQL = f"""SELECT 'inv-output' AS bucket, 'in/' || doc_key || '.xml' AS object_key,
+  'application/xml' AS content_type, sha256(xml) AS content_sha256
+  FROM ({facts_sql(XML_SQL)}) WHERE CAST(doc_key AS BIGINT) % 6 = 0"""
 
 
-@query("write_outputs", facts_sql(_OUTPUT_SQL))
+@query("write_outputs", _OUTPUT_SQL)
 def _(spark, sf):
     path = work_folder(spark, "outputs")
     sinks.write_outputs(_processed(spark, sf), path, "run")
-    return spark.read.parquet(path).select("bucket", "object_key", "content_type")
+    sha = F.sha2("content", 256).alias("content_sha256")
+    return spark.read.parquet(path).select("bucket", "object_key", "content_type", sha)
 
 
 @query(
@@ -357,14 +380,20 @@ def _(spark, sf):
         f"""SELECT 'inv-error' AS error_bucket, 'failed/in/' || doc_key || '.pdf' AS error_object_key,
       '{{"input_bucket":"inv-input","input_object_key":"in/' || doc_key || '.pdf","error_type":"'
       || {TYPE_SQL} || '","message":"' || {ERROR_SQL} || '","policy":"Input object is left in place.'
-      || ' A copy is archived in the error bucket when available."}}' AS report
+      || ' A copy is archived in the error bucket when available."}}' AS report, 'INV-' || doc_key AS archived
       {_FIRST} AND k % 6 > 0"""
     ),
 )
 def _(spark, sf):
     path = work_folder(spark, "errors")
     sinks.write_errors(_processed(spark, sf), path, "run")
-    return spark.read.parquet(path).select("error_bucket", "error_object_key", "report")
+    return spark.read.parquet(path).select(
+        "error_bucket", "error_object_key", "report", _invoice_number(F.col("content")).alias("archived")
+    )
+
+
+def _invoice_number(content):
+    return F.regexp_extract(content.cast("string"), "INV-[0-9]+", 0)
 
 
 _JOBS_SQL = f"""SELECT 'in/' || doc_key || '.pdf' AS input_object_key, {STATUS_SQL} AS status,
@@ -436,6 +465,22 @@ def _(spark, sf):
     return _job_view(spark, f"{base}/jobs")
 
 
+@query(
+    "process_inbox_stream",
+    f"SELECT object_key AS input_object_key, 'PARSE_ERROR' AS status FROM ({_INBOX_SQL})",
+)
+def _(spark, sf):
+    """A folder of texts without amounts: every file becomes a job that says so."""
+    base = work_folder(spark, "inbox-stream")
+    files = inbox.stream_inbox(spark, _fill_inbox(spark, sf))
+    no_digits = F.encode(F.regexp_replace(F.col("content").cast("string"), "[0-9]", ""), "UTF-8")
+    S.process_inbox_stream(
+        files.withColumn("content", no_digits), base, f"{base}/checkpoint", interval=None
+    ).awaitTermination()
+    latest = latest_jobs(sinks.job_log(spark, f"{base}/jobs"))
+    return latest.select("input_object_key", "status")
+
+
 def _status_stream(spark, sf) -> str:
     base = work_folder(spark, "status")
     log = event_log(spark, sf).select("id", "status", "seq")

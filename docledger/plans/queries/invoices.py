@@ -234,7 +234,7 @@ def _monetary(*tags):
     )
 
 
-_XML_SQL = f"""
+XML_SQL = f"""
 , g AS (
   SELECT k, string_agg('
     <cac:TaxSubtotal>
@@ -279,7 +279,7 @@ SELECT doc_key, '<?xml version=''1.0'' encoding=''utf-8''?>
 </Invoice>' AS xml FROM f JOIN g USING (k) JOIN x USING (k)"""
 
 
-@query("ubl_xml", facts_sql(_XML_SQL))
+@query("ubl_xml", facts_sql(XML_SQL))
 def _(spark, sf):
     return with_xml(parse_documents(render(spark, sf, "eu"))).select("doc_key", "xml")
 

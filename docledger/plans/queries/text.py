@@ -12,6 +12,7 @@ from docledger.operators.lines import assemble_pages, document_lines, is_scanned
 from docledger.operators.lookups import currency, document_type
 from docledger.operators.tax import tax_category
 from docledger.operators.ubl import UNKNOWN_CUSTOMER, UNKNOWN_SUPPLIER, party_name, ubl_type
+from docledger.operators.layouts import doc_columns, with_doc_columns
 from docledger.plans.queries.base import (
     FACTS,
     LINES_SQL,
@@ -291,6 +292,24 @@ lookup(
     + " AS document_type FROM f",
 )
 
+
+
+@query(
+    "text_currency_and_type",
+    rf"""WITH {LINES_SQL}, body AS (
+      SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS body,
+        string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no < 5) AS head FROM lines GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN regexp_matches(body, '€|EUR') THEN 'EUR' WHEN regexp_matches(body, '\$|USD') THEN 'USD'
+      WHEN regexp_matches(body, '£|GBP') THEN 'GBP' ELSE '' END AS currency,
+      CASE WHEN contains(lower(head), 'receipt') THEN 'receipt' ELSE 'invoice' END AS document_type
+    FROM documents LEFT JOIN body USING (doc_id)""",
+)
+def _(spark, sf):
+    """Currency and type of texts that this package did not print."""
+    docs, doc = with_doc_columns(table(spark, sf, "documents"), "text"), doc_columns()
+    return docs.select("doc_id", currency(doc).alias("currency"), document_type(doc).alias("document_type"))
+
+
 # ---- dates and numbers ----
 
 _DATE_FORMATS = (

@@ -37,15 +37,3 @@ def stream_inbox(
         .load(folder)
     )
     return _objects(files, bucket)
-
-
-def scan_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """Text documents, one file per row: (object_key, text)."""
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(folder, wholetext=True)
-        .select(
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("object_key"),
-            F.col("value").alias("text"),
-        )
-    )
