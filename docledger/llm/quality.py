@@ -270,8 +270,9 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
     """Every row and column of `docs` with votes, posteriors, scores and `keep`.
 
     form_bad and tone_bad are posteriors of the votes, form_score and tone_score the linear scorers' chance of
-    bad. A document is rejected when posterior and score of a facet both say bad, or when it has no
-    word at all (null, empty or white space). Rows are judged one by one; result columns replace those
+    bad. A document is rejected when the mean of a facet's posterior and score is above one half, so that
+    the scorer decides where the votes leave doubt, or when it has no word at all (null, empty or
+    white space). Rows are judged one by one; result columns replace those
     of the same name.
     """
     spark = docs.sparkSession
@@ -291,7 +292,9 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
 
     done = docs.withColumn(found, run(bytes_of(text)))
     value = lambda n: F.col(f"{found}.{n}")
-    rejected = ((value("form_bad") > 0.5) & (value("form_score") > 0.5)) | ((value("tone_bad") > 0.5) & (value("tone_score") > 0.5))
+    rejected = F.lit(False)
+    for facet in ("form", "tone"):
+        rejected = rejected | (value(f"{facet}_bad") + value(f"{facet}_score") > 1)
     names = ("form_bad", "tone_bad", "form_score", "tone_score")
     return done.withColumns(
         {
