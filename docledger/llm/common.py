@@ -62,6 +62,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/docledger-llm/{name}-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self.close)
 
     def _delete(self, path: str) -> None:
@@ -77,12 +78,23 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A kept table whose files are dealt by `key`, so that joins on it don't move its rows."""
+        table = f"docledger_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{table}")
+        writer.format("parquet").option("compression", "zstd").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, kept: DataFrame) -> None:
         self._delete(kept._scratch_path)
 
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
+                for table in self.tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {table}")
                 self._delete(self.root)
         except Exception:  # the session is gone already; its folder goes with the job
             pass
