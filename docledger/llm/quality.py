@@ -8,14 +8,14 @@ words. Two facets are judged apart: form (is it running text?) and tone (does it
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ MARKS = re.compile(rb"[#$%&*!?~^|<>=+_@]{2,}")
 AROUND = b".,;:!?#$%&*()\"'|"
 FORM = (
     "symbols", "marked_words", "capitals", "line_words", "common_words", "sentences", "word_length", "variety",
-    "repeated_words", "compressible",
+    "repeated_words", "growth_of_words",
 )
 TONE = ("insulted_person", "insult", "insult_density")
 
@@ -68,25 +68,25 @@ def _by(value: float, good: float, bad: float) -> str:
 class Words:
     """What is known of words, remembered for words used lately."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.held = most, {}
 
     def new(self, word: bytes) -> tuple[bytes, int, int, int, int]:
         """The bare word, its flags and length, and the hashed features of the word and its shape."""
-        if word.isalpha():
-            bare, marked, ends = word.lower(), False, False
+        other = word.translate(None, LETTERS)
+        if not other:
+            bare = word.lower()
+            flags = KNOWN.get(bare, 0)
         else:
             bare = word.strip(AROUND).lower()
-            marked = not bare or MARKS.search(word) is not None
-            ends = not marked and word[-1:] in b".!?"
-        flags = (not marked and bare in COMMON) | marked << 1 | ends << 2
-        flags |= (bare in INSULTS_PERSON) << 3 | (bare in INSULTS_OTHER) << 4
-        at = xxhash.xxh3_64_intdigest(bare) % FEATURES
-        shape = xxhash.xxh3_64_intdigest(b"s" + word[-6:].translate(SHAPE)) % FEATURES
-        found = (bare, flags, len(bare), at, shape)
-        if len(self.held) >= self.most:
-            self.held.clear()
+            if not bare or len(other) > 1 and MARKS.search(word):
+                flags = KNOWN.get(bare, 0) & ~COMMON_WORD | MARKED
+            else:
+                flags = KNOWN.get(bare, 0) | (ENDS if word[-1:] in b".!?" else 0)
+        found = (bare, flags, len(bare), crc32(bare) % FEATURES, crc32(word[-6:].translate(SHAPE), 1) % FEATURES)
         if len(word) < 48:
+            if len(self.held) >= self.most:
+                self.held.clear()
             self.held[word] = found
         return found
 
@@ -119,9 +119,9 @@ def described(body: bytes, hashed: bool = True) -> tuple[str, str, np.ndarray, n
         _by(common / n, 0.06, 0.01) if n >= 30 else NONE,
         _by(ends / n, 0.02, 0.002) if n >= 30 else NONE,
         _by(length / n, 12, 20) if n >= 10 else NONE,
-        _by(kinds / n, 0.2, 0.08) if 50 <= n < 3000 else NONE,
+        (_by(kinds / n, 0.2, 0.08) if n >= 50 else _by(kinds / n, 0.65, 0.45) if n >= 12 else NONE) if n < 3000 else NONE,
         _by(equal / n, 0.05, 0.3) if n >= 8 else NONE,
-        _by(len(zlib.compress(body, 1)) / len(body), 0.3, 0.18) if len(body) >= 250 else NONE,
+        _by(math.log(kinds) / math.log(n), 0.78, 0.65) if n >= 12 else NONE,
     )
     tone = (
         BAD if person else GOOD,
@@ -130,8 +130,11 @@ def described(body: bytes, hashed: bool = True) -> tuple[str, str, np.ndarray, n
     )
     if not hashed:
         return "".join(form), "".join(tone), np.zeros(0, np.int64), np.zeros(0)
-    at, place = np.unique([REPEATED, *(x[3] for x in known), *(x[4] for x in known)], return_inverse=True)
-    x = np.sqrt(np.bincount(place, weights=np.concatenate([[equal], k, k])))
+    shapes: dict[int, int] = {}
+    for x, times in zip(known, counts.values()):
+        shapes[x[4]] = shapes.get(x[4], 0) + times
+    at = np.array([REPEATED, *(x[3] for x in known), *shapes], np.int64)
+    x = np.sqrt(np.array([equal, *counts.values(), *shapes.values()], float))
     return "".join(form), "".join(tone), at, x / max(np.sqrt((x * x).sum()), 1e-9)
 
 
@@ -146,6 +149,9 @@ def features(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 _ALL = bytes(range(256))
 #: Flags, by the bits that they set.
 BITS = [np.array([f for f in range(32) if f >> bit & 1]) for bit in range(5)]
+COMMON_WORD, MARKED, ENDS, INSULTS_A, INSULTS_B = 1, 2, 4, 8, 16
+KNOWN = {w: COMMON_WORD for w in COMMON} | {w: INSULTS_A for w in INSULTS_PERSON} | {w: INSULTS_B for w in INSULTS_OTHER}
+LETTERS = bytes(b for b in _ALL if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 #: Letters by case, digits as one; everything else stays.
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in _ALL)
 NOT_UPPER = bytes(b for b in _ALL if not 65 <= b <= 90)
