@@ -26,7 +26,7 @@ RANK_GROUP = 512
 #: A segment ends with the first document that takes it to so many ids.
 SEGMENT_IDS = 1 << 18
 #: Words, and parts of words, that one generation of a worker's memory holds, and the longest that it keeps.
-CACHED_WORDS, CACHED_PARTS = 350_000, 250_000
+CACHED_WORDS, CACHED_PARTS = 200_000, 120_000
 LONGEST_CACHED = 48
 
 SEGMENT = (
