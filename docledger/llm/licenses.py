@@ -1,14 +1,16 @@
 """License scan by conditional compression.
 
-A candidate block, one line or a run of lines, is compressed with each license template as a raw
-zstandard dictionary. The template that shrinks it most against the plain compression is the winner;
-the words in which block and winner differ confirm it, or do not.
+A candidate block is compressed with each license template as a raw zstandard dictionary. The template
+that shrinks it most against the plain compression is the winner; the words in which block and winner
+differ confirm it, or do not. Blocks are the places that hold all telling words of a template, across line
+ends and in lines of any length; then the lines with a root in what these leave.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +24,8 @@ LEVEL = 3
 #: Words of a block that share the template's wording, and of the template that must be there.
 SAME_WORDS = 0.6
 LONGEST_BLOCK = 400
+#: Blocks whose judgement a scanner remembers.
+REMEMBERED = 4096
 
 # Short notices of public licenses, in their usual wording.
 TEMPLATES = {
@@ -80,12 +84,22 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved."),
 }
-#: A block is a candidate if it holds one of these roots: every template has one, so no block that
-#: could be confirmed lacks them all.
-ROOTS = re.compile(r"licen[sc]|redistribut|permission|public domain|rights reserved|creative commons|waived|CC BY|CC0", re.I)
+#: A text is searched if it holds one of these roots: every template has one, so no text that could be
+#: confirmed lacks them all. Line ends and comment signs may stand between two words of a root.
+ROOTS = re.compile(
+    r"licen[sc]|redistribut|permission|public\W{1,20}domain|rights\W{1,20}reserved|creative\W{1,20}commons|waived|CC\W{1,20}BY|CC0", re.I
+)
 WORD = re.compile(r"[A-Za-z]+|\d+(?:\.\d+)*")
 
 
+# Words a notice may lack and still be the same notice.
+FILLERS = set("a an the this work is are released licensed under terms of to copyright version".split())
+# Words that make another license of a notice that lacks them.
+OTHERS = set("affero lesser library nc nd noncommercial noderivatives noderivs sa sharealike".split())
+# Words that two notices may share ("the MIT License or the Apache License").
+SHARED = FILLERS | {"license", "licenses"}
+
+
 class Scanner:
     """Compressors with each template as their dictionary."""
 
@@ -97,25 +111,38 @@ class Scanner:
                 raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 words = [w.lower() for w in WORD.findall(text)]
                 self.known.append((name, text, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)))
+        self.longest = max((len(text) for _, text, _, _ in self.known), default=0)
+        self.judged: dict[str, tuple] = {}
 
-    def ranked(self, block: str) -> list[tuple[int, str, list[str]]]:
-        """(bytes saved, license, template words), most bytes first."""
+    def saved(self, block: str, compressor: zstandard.ZstdCompressor) -> int:
+        raw = block.encode("utf-8", "replace")
+        return len(self.plain.compress(raw)) - len(compressor.compress(raw))
+
+    def ranked(self, block: str) -> list[tuple[int, str, list[str], zstandard.ZstdCompressor]]:
+        """(bytes saved, license, template words, compressor), most bytes first."""
         raw = block.encode("utf-8", "replace")
         plain = len(self.plain.compress(raw))
-        saved = [(plain - len(c.compress(raw)), name, words) for name, _, words, c in self.known]
+        saved = [(plain - len(c.compress(raw)), name, words, c) for name, _, words, c in self.known]
         return sorted(saved, key=lambda x: -x[0])
 
     def judge(self, block: str) -> dict | None:
         """The winner with its differences; ties in bytes go to the template with fewer differences."""
+        return self.winner(block)[0]
+
+    def winner(self, block: str) -> tuple[dict | None, list[int], zstandard.ZstdCompressor | None]:
+        """The winner, the words of the block that it matches, and its compressor."""
+        if block in self.judged:
+            return self.judged[block]
         ranked = self.ranked(block)
         own = [w.lower() for w in WORD.findall(block)]
         best = None
         # Equal or nearly equal reductions: versions differ by a byte or two. The wording decides.
-        for saved, name, words in ranked:
+        for saved, name, words, compressor in ranked:
             if saved <= 0 or saved < ranked[0][0] - 4:
                 break
             match = difflib.SequenceMatcher(None, words, own, autojunk=False)
-            same = sum(m.size for m in match.get_matching_blocks())
+            matched = [m.b + i for m in match.get_matching_blocks() for i in range(m.size)]
+            same = len(matched)
             lacking, added = [], []
             for kind, a, b, c, d in match.get_opcodes():
                 if kind != "equal":
@@ -125,32 +152,138 @@ class Scanner:
             if best is None or key > best[0]:
                 numbers = any(w[0].isdigit() for w in lacking)
                 sure = same >= SAME_WORDS * len(words) and not numbers and not any(w not in FILLERS for w in lacking)
-                best = (key, {"license": name, "saved": saved, "lacking": lacking, "added": added, "confirmed": sure})
-        return best[1] if best else None
+                inner = own[matched[0] : matched[-1]] if matched else []
+                sure = sure and not (OTHERS & set(inner)) - set(words)
+                found = {"license": name, "saved": saved, "lacking": lacking, "added": added, "confirmed": sure}
+                best = (key, (found, matched, compressor))
+        done = best[1] if best else (None, [], None)
+        if len(self.judged) < REMEMBERED:
+            self.judged[block] = done
+        return done
 
+    def spots(self, own: list[str], taken: set[int]) -> Iterator[tuple[int, int]]:
+        """(first, last) word of each place that holds all telling words of a template in their order.
 
-# Words a notice may lack and still be the same notice.
-FILLERS = set("a an the this work is are released licensed under terms of to copyright version".split())
+        Each place of the template's rarest word is tried, with as many words on both sides as the template
+        has there and half as many again.
+        """
+        places: dict[str, list[int]] = {}
+        for i, word in enumerate(own):
+            if i not in taken:
+                places.setdefault(word, []).append(i)
+        seen = set()
+        for _, _, words, _ in self.known:
+            telling = {w for w in words if w not in FILLERS} or set(words)
+            if not telling or not all(w in places for w in telling):
+                continue
+            anchor = min(telling, key=lambda w: (len(places[w]) * words.count(w), w))
+            slack = len(words) // 2 + 8
+            for at in (i for i, w in enumerate(words) if w == anchor):
+                for place in places[anchor]:
+                    low, high = max(0, place - at - slack), min(len(own), place + len(words) - at + slack)
+                    if any((n := bisect_left(places[w], low)) == len(places[w]) or places[w][n] >= high for w in telling):
+                        continue
+                    span = self._around(words, at, own, place, low, high, telling, taken)
+                    if span and span not in seen:
+                        seen.add(span)
+                        yield span
+
+    @staticmethod
+    def _around(words, at, own, place, low, high, telling, taken) -> tuple[int, int] | None:
+        """The span of the matched words about `place`, the nearest first; None if a telling word lacks."""
+        sides = []
+        # The left side is read backwards, so that of equal words the nearest to the place match.
+        for known, at_hand, sign in ((words[:at][::-1], range(place - 1, low - 1, -1), -1), (words[at + 1 :], range(place + 1, high), 1)):
+            here = [None if i in taken else own[i] for i in at_hand]
+            match = difflib.SequenceMatcher(None, known, here, autojunk=False)
+            blocks = [m for m in match.get_matching_blocks() if m.size]
+            found = {m.a + i for m in blocks for i in range(m.size)}
+            if any(w in telling and i not in found for i, w in enumerate(known)):
+                return None
+            # Lone fillers far from the rest are not part of the notice.
+            core = max((m.b + i for m in blocks for i in range(m.size) if here[m.b + i] in telling), default=-1)
+            end = core
+            for m in blocks:
+                if m.b + m.size - 1 > end and m.b - end <= 4:
+                    end = m.b + m.size - 1
+            sides.append(place + sign * (end + 1))
+        return sides[0], sides[1]
+
+    def notices(self, text: str) -> list[dict]:
+        """Confirmed notices, wherever their lines end; each word belongs to one of them, SHARED ones aside."""
+        words = list(WORD.finditer(text))
+        own = [w[0].lower() for w in words]
+        taken: set[int] = set()
+        out: list[dict] = []
+        while True:
+            sure = []
+            for first, last in self.spots(own, taken):
+                begin, end = words[first].start(), words[last].end()
+                found, matched, compressor = self.winner(text[begin:end])
+                if found and found["confirmed"]:
+                    used = {first + i for i in matched if own[first + i] not in SHARED} or {first + i for i in matched}
+                    sure.append((-found["saved"], len(found["added"]), begin, end, used, found, compressor))
+            sure.sort(key=lambda x: x[:4])
+            more = False
+            for _, _, begin, end, used, found, compressor in sure:
+                if not used & taken:
+                    taken |= used
+                    more = True
+                    out.append({"begin": begin, "end": end, "compressor": compressor, **found})
+            if not more:
+                return sorted(out, key=lambda x: (x["begin"], x["end"]))
 
+    def findings(self, text: str) -> list[dict]:
+        """Confirmed notices, and the candidates in what they leave of the text, in text order."""
+        if not ROOTS.search(text):
+            return []
+        found = self.notices(text)
+        out, left = [], text
+        for i, x in enumerate(found):
+            begin, end = text.rfind("\n", 0, x["begin"]) + 1, text.find("\n", x["end"])
+            end = len(text) if end < 0 else end
+            alone = all(y["end"] <= begin or y["begin"] >= end for y in (*found[max(0, i - 1) : i], *found[i + 1 : i + 2]))
+            if not alone or any(len(line) > 2 * LONGEST_BLOCK for line in text[begin:end].split("\n")):
+                begin, end = x["begin"], x["end"]
+            block = text[begin:end]
+            around = [w.lower() for w in (*WORD.findall(text[begin : x["begin"]]), *x["added"], *WORD.findall(text[x["end"] : end]))]
+            saved = self.saved(block, x["compressor"])
+            out.append({"start": begin, "block": block, "license": x["license"], "saved": saved, "lacking": x["lacking"], "added": around, "confirmed": True})
+        if found:
+            parts, place = [], 0
+            for x in found:
+                if x["end"] > place:
+                    parts += [text[place : max(place, x["begin"])], re.sub(r"[^\n]", " ", text[max(place, x["begin"]) : x["end"]])]
+                    place = x["end"]
+            left = "".join([*parts, text[place:]])
+        for start, block in blocks(left, self.longest):
+            best = self.judge(block)
+            if best:
+                out.append({"start": start, "block": text[start : start + len(block)], **best})
+        return sorted(out, key=lambda x: x["start"])
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): lines that hold a root, with the lines that follow as long as these do, too."""
+
+def blocks(text: str, around: int = LONGEST_BLOCK) -> Iterator[tuple[int, str]]:
+    """(start, block): lines that hold a root, with the lines that follow as long as these do, too.
+
+    Long lines are cut; a piece that holds a root has `around` characters more on both sides.
+    """
     place = 0
     held: list[str] = []
     begin = 0
     for line in text.split("\n"):
-        if ROOTS.search(line):
+        if len(line) <= 2 * LONGEST_BLOCK and ROOTS.search(line):
             if not held:
                 begin = place
-            for start in range(0, len(line), LONGEST_BLOCK) if len(line) > 2 * LONGEST_BLOCK else ():
-                piece = line[max(0, start - 100) : start + LONGEST_BLOCK]
-                if ROOTS.search(piece):
-                    yield place + max(0, start - 100), piece
-            if len(line) <= 2 * LONGEST_BLOCK:
-                held.append(line)
-        elif held:
-            yield begin, "\n".join(held)
-            held = []
+            held.append(line)
+        else:
+            if held:
+                yield begin, "\n".join(held)
+                held = []
+            if len(line) > 2 * LONGEST_BLOCK:
+                for piece in sorted({m.start() // LONGEST_BLOCK for m in ROOTS.finditer(line)}):
+                    start = max(0, piece * LONGEST_BLOCK - around)
+                    yield place + start, line[start : (piece + 1) * LONGEST_BLOCK + around]
         place += len(line) + 1
     if held:
         yield begin, "\n".join(held)
@@ -161,9 +294,10 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ..
 
     A finding has start (code points before the block), block, license, saved (bytes), lacking and added
     (words of the template that the block lacks, and the reverse) and confirmed: only filler words are
-    lacking, and no number. A null or empty text, and one without candidate blocks, has an empty array.
-    Long lines are scanned in overlapping pieces. Rows are scanned one by one; a column named `licenses`
-    is replaced.
+    lacking, and no number, and no word of another license is added. Each notice has a finding of its own, also
+    where several stand in one line or in neighbouring lines; its block is its lines, or the notice alone
+    where the lines are long or hold another one. A null or empty text, and one without candidate blocks,
+    has an empty array. Rows are scanned one by one; a column named `licenses` is replaced.
     """
     ship(docs.sparkSession)
     known = templates or TEMPLATES
@@ -174,12 +308,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ..
     def run(bodies: pd.Series) -> pd.Series:
         scanner, out = Scanner(known), []
         for body in bodies:
-            rows = []
-            for start, block in blocks(body.decode("utf-8", "replace")):
-                best = scanner.judge(block)
-                if best:
-                    rows.append({"start": start, "block": block, **best})
-            out.append(rows)
+            out.append(scanner.findings(body.decode("utf-8", "replace")))
         return pd.Series(out, dtype=object)
 
     return docs.withColumn(found, run(bytes_of(text))).drop("licenses").withColumnRenamed(found, "licenses")

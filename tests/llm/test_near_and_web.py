@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 from datetime import datetime, timedelta, timezone
 
@@ -214,6 +215,21 @@ def test_every_template_is_its_own_winner():
             assert licenses.ROOTS.search(text), text
 
 
+def notices(text):
+    return [f["license"] for f in licenses.Scanner(licenses.TEMPLATES).findings(text) if f["confirmed"]]
+
+
+def test_notices_cross_line_ends_and_cuts():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = textwrap.indent(textwrap.fill(text, 40), " * ")
+            assert notices(f"Intro.\n{wrapped}\nend") == [name], wrapped
+            for before in (250, 330, 390):
+                assert notices("x " * before + text + " on" * 300) == [name], (before, text)
+    lesser = "\n".join(licenses.TEMPLATES["GPL-3.0"]).replace("GNU General", "GNU Lesser General")
+    assert notices(lesser) == ["LGPL-3.0"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept, before = docs, {r.doc_id: r.text for r in docs.collect()}
