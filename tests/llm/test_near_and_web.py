@@ -230,6 +230,19 @@ def test_notices_cross_line_ends_and_cuts():
     assert notices(lesser) == ["LGPL-3.0"]
 
 
+def test_each_notice_has_a_finding():
+    apache, mit = "Licensed under the Apache License, Version 2.0.", "Licensed under the MIT License."
+    assert notices(f"{mit}\n{apache}") == notices(f"{mit} {apache}") == ["MIT", "Apache-2.0"]
+    assert notices("Licensed under the MIT License or the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert notices(f"All rights reserved.\n{mit}\n{mit}") == ["Proprietary", "MIT", "MIT"]
+    known = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    for (one, a), (two, b) in zip(known, known[1:] + known[:1]):
+        assert notices(f"{a}\n{b}") == [one, two]
+        assert notices("x " * 300 + f"{b} {a}" + " on" * 300) == [two, one]
+    both = licenses.Scanner(licenses.TEMPLATES).findings(f"{mit}\n{apache.replace('2.0', '1.1')}")
+    assert [(f["license"], f["confirmed"], f["start"]) for f in both] == [("MIT", True, 0), ("Apache-2.0", False, len(mit) + 1)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept, before = docs, {r.doc_id: r.text for r in docs.collect()}
