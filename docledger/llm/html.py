@@ -39,6 +39,9 @@ DROPPED_WORDS = set(
     "signup sidenav skip social sponsor sponsored subscribe subscription taboola toolbar topbar topnav widget widgets".split()
 )
 COMMENT_WORDS = set("comment comments commentlist reply replies respond".split())
+# Words beside one of those above that leave its meaning, and words that turn it.
+NEUTRAL_WORDS = set("area bar block box container group inner item items list outer panel region section wrap wrapper".split())
+TURNING_WORDS = set("has hide hides no non with without".split())
 CONTENT_WORDS = set("article body content entry main post story text".split())
 
 TAG = re.compile(
@@ -50,8 +53,16 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 ENDS_P = BLOCKS - {"body", "html"}
 
 
+def named_role(name: list[str], roles: set[str]) -> str | None:
+    """Whether a class, id or role of these words names one of `roles`: as a whole, as a part, or not at all."""
+    hits = [i for i, w in enumerate(name) if w in roles and not (i and name[i - 1] in TURNING_WORDS)]
+    if not hits:
+        return None
+    return "whole" if all(w in DROPPED_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in name) else "part"
+
+
 class Node:
-    __slots__ = ("classes", "dropped", "label", "parent", "tag", "words")
+    __slots__ = ("dropped", "hard", "label", "parent", "part", "tag", "words")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -60,14 +71,17 @@ class Node:
             for name, *values in NAMED.findall(attributes):
                 found.setdefault(name.lower(), next((v for v in values if v), ""))
         classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-        self.words = {w.lower() for v in found.values() for w in WORD.findall(v)}
+        names = [[w.lower() for w in WORD.findall(name)] for v in found.values() for name in v.split()]
+        self.words = {w for name in names for w in name}
         self.label = ".".join([tag, *classes])
-        if tag in ("html", "body", "main"):
-            named = False
-        else:
-            named = bool(self.words & (COMMENT_WORDS if tag == "article" else DROPPED_WORDS))
-        drop = tag in DROPPED or named
-        self.dropped = drop or (parent is not None and parent.dropped)
+        whole = self.part = False
+        if tag not in ("html", "body", "main"):
+            for name in names:
+                role = named_role(name, COMMENT_WORDS if tag == "article" else DROPPED_WORDS)
+                whole, self.part = whole or role == "whole", self.part or role == "part"
+        #: Dropped whatever it holds; `part` only drops what does not carry most of the page (see `runs`).
+        self.hard = tag in DROPPED or whole or (parent is not None and parent.hard)
+        self.dropped = self.hard or self.part or (parent is not None and parent.dropped)
 
     def path(self) -> str:
         labels, node = [], self
@@ -91,17 +105,35 @@ class Node:
         return False
 
 
+def free_carriers(nodes: list[Node], found: list[tuple[Node, str | None]]) -> None:
+    """Take back the drop of elements that only a part of a name drops, where they carry most of the page."""
+    sizes: dict[int, int] = {}
+    total = 0
+    for node, text in found:
+        size = 0 if not text or node.hard or node.within("a") else len(text.strip())
+        total += size
+        while size and node is not None:
+            sizes[id(node)] = sizes.get(id(node), 0) + size
+            node = node.parent
+    for node in nodes:
+        node.part = node.part and 2 * sizes.get(id(node), 0) <= total
+        node.dropped = node.hard or node.part or (node.parent is not None and node.parent.dropped)
+
+
 def runs(page: str) -> list[tuple[Node, str | None]]:
     """Runs of text with the element they stand in, in page order; None where a block begins or ends."""
     root = Node("#root", "", None)
     out: list[tuple[Node, str | None]] = []
     stack, place = [root], 0
+    nodes = [root]
     while True:
         found = TAG.search(page, place)
         text = page[place : found.start() if found else len(page)]
         if text:
             out.append((stack[-1], text))
         if not found:
+            if any(n.part and not n.hard for n in nodes):
+                free_carriers(nodes, out)
             return out
         place = found.end()
         name = (found[2] or found[5] or "").lower()
@@ -136,6 +168,7 @@ def runs(page: str) -> list[tuple[Node, str | None]]:
                 if stack[i].tag in BLOCKS:
                     break
         stack.append(Node(name, attributes, stack[-1]))
+        nodes.append(stack[-1])
 
 
 def best_container(found: list[tuple[Node, str | None]]) -> Node | None:

@@ -190,6 +190,15 @@ def test_consensus_beats_the_page():
     assert html.extract(page, ["body/div.none"]).startswith("long")
 
 
+def test_a_part_of_a_name_does_not_drop_the_article():
+    page = "<body><div {}><p>{}</p><div class=related-posts>More</div></div><div class=post-related-works>Box</div><p>End.</body>"
+    for name in ("class='content has-sidebar'", "class=no-ads", "class=with-footer", "id=social-science", "class=post-related-works"):
+        text = html.extract(page.format(name, "word " * 50), [])
+        assert text.startswith("word word") and "More" not in text and "Box" not in text, name
+    for name in ("class=comments-area", "id=sidebar"):
+        assert html.extract(page.format(name, "word " * 50), []) == "End."
+
+
 def test_licenses(spark):
     text = "Intro.\nReleased under the MIT License.\nMore.\nLicensed under CC BY-NC 4.0.\nx\nLicensed under the Apache License, Version 1.1.\nend"
     rows = [(1, text, 0), (2, None, 0), (3, "", 0), (4, "no notice", 0), (5, "a " * 50_000 + "\nAll rights reserved.", 0), (1, text, 0)]
