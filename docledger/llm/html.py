@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Each page's containers are scored by their running text. The best one votes for its generalised path (tags
-and classes from the root, digits made equal), the votes are counted per host, and every page is
+Each page's containers are scored by their running text. The best one, or the element around it that holds the
+rest of the article, votes for its generalised path (tags and classes from the root, digits made
+equal), the votes are counted per host, and every page is
 extracted again from the elements on its host's winning paths, or from its own best container if
 it has none of them.
 """
@@ -194,6 +195,52 @@ def best_container(found: list[tuple[Node, str | None]]) -> Node | None:
     return min(scores.values(), key=rank)[2]
 
 
+def whole_article(best: Node | None, found: list[tuple[Node, str | None]]) -> Node | None:
+    """The element with all of the article that `best` is of: the highest article or main around it, if links
+    are not most of its text; without one, the highest element that adds running text and is mostly such.
+
+    Site headers add nothing. The body is taken only for running text of its own, as its other children
+    may be anything.
+    """
+    if best is None or best.tag in ("html", "#root"):
+        return best
+    above = []
+    node = best
+    while node is not None and node.tag not in ("html", "#root"):
+        above.append(node)
+        node = node.parent
+    places = {id(n): i for i, n in enumerate(above)}
+    # Running text and text of links by the lowest of these elements around it.
+    running, linked = [0] * len(above), [0] * len(above)
+    loose = 0
+    for node, text in found:
+        size = 0 if not text or node.dropped else len(text.strip())
+        if not size:
+            continue
+        holder = node
+        while holder is not None and id(holder) not in places:
+            holder = holder.parent
+        if holder is None:
+            continue
+        at = places[id(holder)]
+        if node.within("a"):
+            linked[at] += size
+        elif node.within("article", "main") or not node.within("header"):
+            running[at] += size
+            if above[at].tag == "body" and node.container() is above[at]:
+                loose += size
+    for i in range(len(above) - 1, -1, -1):
+        if above[i].tag in ("article", "main") and (sum(linked[: i + 1]) <= sum(running[: i + 1]) or above[i].tag == "article"):
+            return above[i]
+    now = 0
+    for i in range(1, len(above)):
+        if sum(linked[: i + 1]) > sum(running[: i + 1]):
+            break
+        if sum(running[now + 1 : i + 1]) and (above[i].tag != "body" or loose):
+            now = i
+    return above[now]
+
+
 def extract(page: str, paths: list[str]) -> str:
     """Text blocks, joined by line ends, of the elements on the first path that the page has."""
     found = runs(page)
@@ -205,7 +252,7 @@ def extract(page: str, paths: list[str]) -> str:
             above = above.parent
     have = set(known.values())
     path = next((p for p in paths if p in have), None)
-    own = None if path else best_container(found)
+    own = None if path else whole_article(best_container(found), found)
     if path is None and own is None:
         return ""
     inside: dict[int, bool] = {}
@@ -230,7 +277,8 @@ def extract(page: str, paths: list[str]) -> str:
 
 
 def vote(page: str) -> str | None:
-    best = best_container(runs(page))
+    found = runs(page)
+    best = whole_article(best_container(found), found)
     return best.path() if best is not None else None
 
 

@@ -190,6 +190,22 @@ def test_consensus_beats_the_page():
     assert html.extract(page, ["body/div.none"]).startswith("long")
 
 
+def test_the_whole_article_is_kept(spark):
+    nav, body = "<nav><a href=/>Menu</a></nav><div class=list><a href=/x>Other page</a></div>", "<p>" + "word " * 60 + "</p>"
+    pages = [
+        f"<body>{nav}<article><h1>T</h1><div>{body}</div></article>",
+        f"<body>{nav}<article><header><h1>T</h1></header><div><div><div>{body}</div></div></div></article>",
+        f"<body>{nav}<div class=wrap><h1>T</h1><div class=text>{body}</div></div>",
+        f"<body>{nav}<h1>T</h1><div class=text>{body}</div>",
+        f"<body>{nav}<main><section class=a><p>T</p></section><section class=b>{body}</section></main>",
+    ]
+    rows = [(i, f"https://h{i}.example/{k}", page) for i, page in enumerate(pages) for k in range(3)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    words = ("word " * 60).strip()
+    assert {r.page_id: r.text for r in got if r.page_id != 3} == {i: f"T\n{words}" for i in (0, 1, 2, 4)}
+    assert all(r.text.endswith(f"T\n{words}") for r in got)
+
+
 def test_a_part_of_a_name_does_not_drop_the_article():
     page = "<body><div {}><p>{}</p><div class=related-posts>More</div></div><div class=post-related-works>Box</div><p>End.</body>"
     for name in ("class='content has-sidebar'", "class=no-ads", "class=with-footer", "id=social-science", "class=post-related-works"):
