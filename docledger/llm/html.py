@@ -3,8 +3,8 @@
 Each page's containers are scored by their running text. The best one, or the element around it that holds the
 rest of the article, votes for its generalised path (tags and classes from the root, digits made
 equal), the votes are counted per host, and every page is
-extracted again from the elements on its host's winning paths, or from its own best container if
-it has none of them.
+extracted again from the elements on the winning path of its host that holds most of the page's running
+text, or from its own container if it has none of them, or only a small one beside an article.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from docledger.llm.common import Scratch, bytes_of, free_name, ship
 
 #: A path wins with this share of a host's votes, so a host has at most 20 of them.
 WINNING_SHARE = 0.05
+#: A path is no more than a box of the page if it holds less than this share of the page's own container.
+BOX_SHARE = 0.5
 
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,8 +243,13 @@ def whole_article(best: Node | None, found: list[tuple[Node, str | None]]) -> No
     return above[now]
 
 
-def extract(page: str, paths: list[str]) -> str:
-    """Text blocks, joined by line ends, of the elements on the first path that the page has."""
+def extract(page: str, paths: list[str], shared: bool = False) -> str:
+    """Text blocks, joined by line ends, of the elements on that of the paths with most running text here.
+
+    The page's own container is taken if the page has none of the paths, or if that path is only a box beside
+    it, and it is an article, main or `shared`: voted for by other pages of the host, too. A large
+    container of this page alone may be anything, so there the path wins.
+    """
     found = runs(page)
     known: dict[int, str] = {}
     for node, _ in found:
@@ -250,9 +257,23 @@ def extract(page: str, paths: list[str]) -> str:
         while above is not None and id(above) not in known:
             known[id(above)] = above.path()
             above = above.parent
-    have = set(known.values())
-    path = next((p for p in paths if p in have), None)
-    own = None if path else whole_article(best_container(found), found)
+    own = whole_article(best_container(found), found)
+    own_path = known[id(own)] if own is not None else None
+    path = own_path if own_path in paths else None
+    here = set(known.values())
+    have = [p for p in paths if p in here]
+    if have and (path is None or len(have) > 1):
+        sizes = dict.fromkeys([*have, own_path], 0)
+        for node, text in found:
+            size = 0 if not text or node.dropped or node.within("a") else len(text.strip())
+            while size and node is not None:
+                if known[id(node)] in sizes:
+                    sizes[known[id(node)]] += size
+                node = node.parent
+        path = max(have, key=lambda p: sizes[p])  # the first of equal ones has most votes
+        article = own is not None and (shared or own.tag in ("article", "main"))
+        if article and sizes[path] < BOX_SHARE * sizes[own_path]:
+            path = None
     if path is None and own is None:
         return ""
     inside: dict[int, bool] = {}
@@ -287,15 +308,20 @@ def host_of(url: Column) -> Column:
     return F.lower(host)
 
 
-def winning_paths(votes: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
-    """(host, paths): the paths with at least `share` of a host's votes, most votes first."""
-    counts = votes.groupBy("host", "path").agg(F.count("*").alias("n"))
+def winning_paths(counts: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
+    """(host, paths): of (host, path, n), the paths with at least `share` of a host's votes, most votes first."""
     totals = counts.groupBy("host").agg(F.sum("n").alias("total"))
     strong = counts.join(totals, "host").where(F.col("n") >= F.lit(share) * F.col("total"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
     return strong.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
 
 
+def minor_paths(counts: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
+    """(host, path): the paths that more than one page votes for, but fewer than `share` of the host's."""
+    totals = counts.groupBy("host").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "host").where((F.col("n") > 1) & (F.col("n") < F.lit(share) * F.col("total"))).select("host", "path")
+
+
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", share: float = WINNING_SHARE) -> DataFrame:
     """Every row and column of `pages` with text and n_chars, its length in code points.
 
@@ -303,25 +329,35 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", share: flo
     no host vote together. Rows are never grouped or dropped, however often they repeat; an empty table
     gives no rows. Columns of `pages` with the names of the results are replaced. The winning paths of all
     hosts are written first, so that the planner joins them by their known size; pages are not
-    shuffled unless that size forbids to broadcast it.
+    shuffled unless that size forbids to broadcast it. The same holds for the paths below `share` that
+    several pages vote for; only if there are any, each page's vote is taken again to look it up.
     """
     spark = pages.sparkSession
     ship(spark)
-    host, paths, voted = (free_name(pages, n) for n in ("page_host", "page_paths", "page_vote"))
+    host, paths, voted, own, minor = (free_name(pages, n) for n in ("page_host", "page_paths", "page_vote", "page_own", "page_minor"))
 
     @F.pandas_udf("string")
     def best(bodies: pd.Series) -> pd.Series:
         return pd.Series([vote(b.decode("utf-8", "replace")) for b in bodies], dtype=object)
 
     @F.pandas_udf("string")
-    def extracted(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
-        pairs = zip(bodies, wanted)
-        return pd.Series([extract(b.decode("utf-8", "replace"), [] if w is None else list(w)) for b, w in pairs], dtype=object)
+    def extracted(bodies: pd.Series, wanted: pd.Series, shared: pd.Series) -> pd.Series:
+        rows = zip(bodies, wanted, shared)
+        return pd.Series([extract(b.decode("utf-8", "replace"), [] if w is None else list(w), bool(s)) for b, w, s in rows], dtype=object)
 
     hosted = pages.withColumn(host, host_of(F.col(url)))
     votes = hosted.select(F.col(host).alias("host"), best(bytes_of(html)).alias("path")).where(F.col("path").isNotNull())
-    winners = Scratch(spark, "html").keep(winning_paths(votes, share), "paths")
+    scratch = Scratch(spark, "html")
+    counts = scratch.keep(votes.groupBy("host", "path").agg(F.count("*").alias("n")), "counts")
+    winners = scratch.keep(winning_paths(counts, share), "paths")
     winners = winners.select(F.col("host").alias(voted), F.col("paths").alias(paths))
-    joined = hosted.join(winners, F.col(host) == F.col(voted), "left")
-    done = joined.withColumn("text", extracted(bytes_of(html), F.col(paths)))
-    return done.withColumn("n_chars", F.length("text").cast("long")).drop(host, paths, voted)
+    joined = hosted.join(winners, F.col(host) == F.col(voted), "left").drop(voted)
+    below = scratch.keep(minor_paths(counts, share), "minor")
+    shared = F.lit(False)
+    if not below.isEmpty():
+        below = below.select(F.col("host").alias(voted), F.col("path").alias(minor))
+        joined = joined.withColumn(own, best(bytes_of(html)))
+        joined = joined.join(below, (F.col(host) == F.col(voted)) & (F.col(own) == F.col(minor)), "left")
+        shared = F.col(minor).isNotNull()
+    done = joined.withColumn("text", extracted(bytes_of(html), F.col(paths), shared))
+    return done.withColumn("n_chars", F.length("text").cast("long")).drop(host, paths, voted, own, minor)

@@ -206,6 +206,19 @@ def test_the_whole_article_is_kept(spark):
     assert all(r.text.endswith(f"T\n{words}") for r in got)
 
 
+def test_a_box_on_a_winning_path_is_not_the_page(spark):
+    box, long = "<div class=t><p>{}</p></div>", "long " * 50
+    other = f"<body>{box.format('short')}<div class=other><p>{long}</p></div>"
+    assert html.extract(other, ["body/div.t", "body/div.other"]) == long.strip()
+    assert html.extract(other.replace("div class=other", "article"), ["body/div.t"]) == long.strip()
+    rows = [(i, "http://h.example/", "<body>" + box.format(f"text {i} " * 20)) for i in range(60)]
+    rows += [(i, "http://h.example/", other) for i in (60, 61)]
+    rows += [(62, "http://h.example/", other.replace("other", "once"))]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert len(got) == 63 and all(got[i] == (f"text {i} " * 20).strip() for i in range(60))
+    assert got[60] == got[61] == long.strip() and got[62] == "short"
+
+
 def test_a_part_of_a_name_does_not_drop_the_article():
     page = "<body><div {}><p>{}</p><div class=related-posts>More</div></div><div class=post-related-works>Box</div><p>End.</body>"
     for name in ("class='content has-sidebar'", "class=no-ads", "class=with-footer", "id=social-science", "class=post-related-works"):
