@@ -9,18 +9,20 @@ text in the fewest bits wins.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.common import free_name, ship, slices
 
 ORDER = 3
-#: Bytes of the frozen trees; they go to every executor. The rarest contexts are left out beyond it.
+#: Bytes of the frozen trees held at a time; larger ones are cut to parts, and nothing is left out.
 MODEL_BYTES = 64 << 20
 #: Bytes coded at a time.
 PIECE = 1 << 19
@@ -95,6 +97,8 @@ class Model:
     def __init__(self, langs: list[str], keys: np.ndarray, counts: np.ndarray):
         """keys: sorted runs of ORDER + 1 bytes; counts: a column for each language."""
         self.langs = langs
+        #: Runs of this range are coded here, others by other parts.
+        self.low, self.high = 0, 1 << 32
         self.keys: list[np.ndarray] = []
         self.bits: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
@@ -122,6 +126,21 @@ class Model:
             self.contexts.append(context)
             self.escapes.append(escape.astype(np.float32))
 
+    def parts(self, room: int) -> Iterator[Model]:
+        """The model cut by ranges of its longest runs, `room` of them in each; shorter ones are in all parts."""
+        known, context = self.keys[-1], self.contexts[-1]
+        for start in range(0, len(known), room):
+            part = copy.copy(self)
+            part.low = int(known[start]) if start else 0
+            part.high = int(known[start + room]) if start + room < len(known) else 1 << 32
+            part.keys = [*self.keys[:-1], known[start : start + room].copy()]
+            part.bits = [*self.bits[:-1], self.bits[-1][start : start + room].copy()]
+            first = np.searchsorted(context, part.low >> 8)
+            last = np.searchsorted(context, (part.high - 1) >> 8, side="right")
+            part.contexts = [*self.contexts[:-1], context[first:last].copy()]
+            part.escapes = [*self.escapes[:-1], self.escapes[-1][first:last].copy()]
+            yield part
+
     def cost(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Code lengths of the last byte of each run, a column for each language."""
         if order < 0:
@@ -163,26 +182,58 @@ class Model:
     def _add(self, out: np.ndarray, waiting: list[np.ndarray], owners: list[int]) -> None:
         if waiting:
             starts = np.cumsum([0, *[len(w) for w in waiting[:-1]]])
-            bits = self.cost(np.concatenate(waiting)).astype(np.float64)
+            runs = np.concatenate(waiting)
+            if self.low or self.high < 1 << 32:
+                bits = np.zeros((len(runs), len(self.langs)))
+                inside = (runs >= self.low) & (runs < self.high)
+                bits[inside] = self.cost(runs[inside])
+            else:
+                bits = self.cost(runs).astype(np.float64)
             np.add.at(out, owners, np.add.reduceat(bits, starts, axis=0))
 
 
-def learn(docs: DataFrame, lang: str = "lang", text: str = "text", model_bytes: int = MODEL_BYTES) -> Model:
+class Parts:
+    """Trees beyond the bytes held at a time: one language after the other, each in parts, all counts kept."""
+
+    def __init__(self, langs: list[str]):
+        self.langs = langs
+        self.stored: list[tuple[int, Broadcast]] = []
+
+    @property
+    def keys(self) -> list[np.ndarray]:
+        """Runs of the first part, by their order."""
+        return self.stored[0][1].value.keys
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each whole text in each language; one part is in memory at a time."""
+        out = np.zeros((len(texts), len(self.langs)))
+        for lang, held in self.stored:
+            out[:, lang] += held.value.lengths(texts)[:, 0]
+            held.__dict__.pop("_value", None)  # it is read again from its local file
+        return out
+
+
+def learn(docs: DataFrame, lang: str = "lang", text: str = "text", model_bytes: int = MODEL_BYTES) -> Model | Parts:
     """The frozen trees of all languages of the table; no language, if no row has text and lang.
 
-    The counts cover every text. The trees hold at most `model_bytes`: where there are more runs of
-    bytes than that, the most frequent stay, and what is left out is coded in its shorter contexts.
+    The counts cover every text, and none is left out. Trees of more than `model_bytes` are built language by
+    language and cut to parts with so many of the longest runs; the runs of up to ORDER bytes of a language
+    (2^24 at most) are in each of its parts. The driver holds the tree of one language then.
     """
     counts = count_grams(docs, lang, text).persist()
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     room = max(1, model_bytes // (4 + 4 * max(len(langs), 1)))
-    totals = counts.groupBy("gram").agg(F.sum("n").alias("total"))
-    if totals.count() > room:
-        kept = totals.orderBy(F.desc("total"), "gram").limit(room)
-        rows = counts.join(kept.select("gram"), "gram")
-    else:
-        rows = counts
-    found = rows.select("gram", F.array_position(F.lit(langs), F.col("lang")).alias("l"), "n") if langs else rows.select("gram", F.lit(1).alias("l"), "n")
+    if counts.select("gram").distinct().count() > room:
+        model = Parts(langs)
+        for i, name in enumerate(langs):
+            arrow = counts.where(F.col("lang") == name).select("gram", "n").toArrow()
+            keys, n = arrow.column("gram").to_numpy(), arrow.column("n").to_numpy()
+            order = np.argsort(keys)
+            whole = Model([name], keys[order], n[order][:, None])
+            model.stored += [(i, docs.sparkSession.sparkContext.broadcast(part)) for part in whole.parts(room)]
+        counts.unpersist()
+        return model
+    found = counts.select("gram", F.array_position(F.lit(langs), F.col("lang")).alias("l"), "n") if langs else counts.select("gram", F.lit(1).alias("l"), "n")
     arrow = found.toArrow()
     counts.unpersist()
     keys, place = np.unique(arrow.column("gram").to_numpy(), return_inverse=True)
@@ -196,7 +247,7 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | Parts, text: str = "text") -> DataFrame:
     """Every row and column of `docs` with lang_pred and score.
 
     score is the posterior of the language, all equally likely before. A text that is null or has no
@@ -205,11 +256,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     ship(docs.sparkSession)
     found = free_name(docs, "found")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Parts) else docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def judged(bodies: pd.Series) -> pd.DataFrame:
-        trees = shared.value
+        trees = shared if isinstance(shared, Parts) else shared.value
         names, scores = [None] * len(bodies), [0.0] * len(bodies)
         rows = [i for i, b in enumerate(bodies) if b is not None] if trees.langs else []
         if rows:

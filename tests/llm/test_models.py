@@ -78,6 +78,19 @@ def test_a_small_model_still_codes(spark):
     assert len(model.keys[-1]) == 10 and np.isfinite(model.lengths([b"abra xyz"])).all()
 
 
+def test_parts_code_as_the_whole(spark):
+    rows = [(lang, text) for lang, texts in TRAINING.items() for text in texts] + [("aa", "abra cadabra abra bar ")] * 50
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    whole = language.learn(docs)
+    texts = [b"abra xyz", "été déjà vu".encode(), b"xyzzy q", b"", bytes(range(256))]
+    asked = spark.createDataFrame([(t,) for t in ("abra xyz", "été déjà vu", "zyx", "?", None)], "text string")
+    for size in (16, 160, 16 * 30):
+        model = language.learn(docs, model_bytes=size)
+        assert np.allclose(model.lengths(texts), whole.lengths(texts), rtol=1e-4, atol=1e-3)
+        got, wanted = ([tuple(r) for r in language.identify(asked, m).select("lang_pred", "score").collect()] for m in (model, whole))
+        assert [g[0] for g in got] == [w[0] for w in wanted] and np.allclose([g[1] for g in got], [w[1] for w in wanted], atol=1e-4)
+
+
 def test_language_of_held_out_documents(spark):
     found = QUERIES["op10_language"](spark, SF_DIR).where("held_out")
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
