@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from docledger.llm.common import bytes_of, free_name, ship
 
 GOOD, BAD, NONE = "g", "b", "-"
-#: Hashed features, documents that the scorers are fitted on (about so many, chosen by hash, and never
-#: more than twice as many), and words of each of those that count.
+#: Hashed features, and documents that the scorers are fitted on (about so many, chosen by hash, and never
+#: more than twice as many), each with its whole text.
 FEATURES = 1 << 16
 FIT_ROWS = 12_000
-FIT_WORDS = 2_000
 #: The feature that counts words equal to the word before.
 REPEATED = 0
 ROUNDS = 60
@@ -256,7 +255,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows:
 
     @F.pandas_udf("struct<at: array<int>, x: array<float>>")
     def hashed(bodies: pd.Series) -> pd.DataFrame:
-        found = [features(b" ".join(b.split()[:FIT_WORDS])) for b in bodies]
+        found = [features(b) for b in bodies]
         return pd.DataFrame({"at": [a.astype(np.int32) for a, _ in found], "x": [x.astype(np.float32) for _, x in found]})
 
     # The hash is spread evenly, so this share of its range holds about `fit_rows` rows; the limit holds

@@ -173,6 +173,17 @@ def test_quality_of_labelled_documents(spark):
     assert sum(r.keep for r in clean) >= 0.98 * len(clean)
 
 
+def test_scorers_are_fitted_on_whole_texts(spark, monkeypatch):
+    fitted = []
+    fit = quality.Scorer.fit
+    monkeypatch.setattr(quality.Scorer, "fit", staticmethod(lambda rows, bad: fitted.append(rows) or fit(rows, bad)))
+    text = "the cat is on the mat " * 500 + "you idiot, you pathetic moron " * 50
+    quality.learn(spark.createDataFrame([("1", text)], "doc_id string, text string"))
+    at, x = quality.features(text.encode())
+    (got_at, got_x), = fitted[0]
+    assert len(fitted) == 2 and got_at.tolist() == at.tolist() and np.allclose(got_x, x, atol=1e-6)
+
+
 def test_quality_of_odd_rows(spark):
     prose = "This is the text of a page, and it has been written for a reader. It is not long. "
     rows = [(1, prose * 3, 1.0), (2, None, 1.0), (3, "", 1.0), (4, " \n\t", 1.0), (5, prose * 3000, 1.0), (None, prose, 1.0), (1, prose * 3, 1.0)]
