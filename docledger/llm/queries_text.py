@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docledger.llm import decontaminate, mixing, tokens
+from docledger.llm import decontaminate, mixing, packing, tokens
 from docledger.llm.common import table
 from docledger.llm.registry import query
 
@@ -94,3 +94,11 @@ def op7(spark, sf_dir):
 @query("op9_tokens")
 def op9(spark, sf_dir):
     return tokens.tokenized(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
+@query("op12_packing")
+def op12(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+    return pieces.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
