@@ -11,7 +11,6 @@ and containment are joins over those.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -59,12 +58,18 @@ class WordIds(dict):
         return found
 
 
+class Node(dict):
+    """Next word -> container or node."""
+
+    def size(self) -> int:
+        return sum(len(child) if type(child) is dict else child.size() for child in self.values())
+
+
 class Trie:
     """Windows of one language: first word -> container or node -> ... of rests packed in integers."""
 
     def __init__(self) -> None:
-        self.children: dict[int, Counter | dict] = {}
-        self.sizes: Counter = Counter()
+        self.children: dict[int, dict | Node] = {}
 
     def add(self, words: np.ndarray, starts: int) -> int:
         """Count the windows at the first `starts` words, where 0 ends a piece; the number that are new."""
@@ -74,67 +79,63 @@ class Trie:
         d = np.where(c == 0, 0, d)
         rest = (b << 2 * ID_BITS) | (c << ID_BITS) | d
         a, rest = a[a > 0], rest[a > 0]
-        order = np.lexsort((rest, a))
+        order = np.argsort(a, kind="stable")
         a, rest = a[order], rest[order]
         cuts = np.flatnonzero(np.diff(a, prepend=-1)).tolist()
         firsts, rests, held = a[cuts].tolist(), rest.tolist(), 0
+        children = self.children
         for first, start, end in zip(firsts, cuts, [*cuts[1:], len(rests)]):
-            child = self.children.get(first)
+            child = children.get(first)
             if child is None:
-                child = self.children[first] = Counter()
-            new = self._count(self.children, first, child, rests[start:end], 2)
-            self.sizes[first] += new
-            held += new
+                child = children[first] = {}
+            held += self._count(children, first, child, rests[start:end], 2)
         return held
 
-    def _count(self, parent: dict, word: int, child: Counter | dict, rests: list[int], depth: int) -> int:
-        """Count ascending rests below a child; the number of windows that are new."""
-        if isinstance(child, Counter):
-            before = len(child)
-            if len(rests) < 8:
-                for rest in rests:
-                    child[rest] = child.get(rest, 0) + 1
-            else:
-                child.update(rests)
+    def _count(self, parent: dict, word: int, child: dict | Node, rests: list[int], depth: int) -> int:
+        """Count rests below a child; the number of windows that are new."""
+        if type(child) is dict:
+            before, get = len(child), child.get
+            for rest in rests:
+                child[rest] = get(rest, 0) + 1
+            new = len(child) - before
             if len(child) > BURST and depth:
                 parent[word] = self._burst(child, depth)
-            return len(child) - before
+            return new
         shift, new, i = depth * ID_BITS, 0, 0
         low = (1 << shift) - 1
+        rests.sort()
         while i < len(rests):
             following, start = rests[i] >> shift, i
             while i < len(rests) and rests[i] >> shift == following:
                 i += 1
             below = child.get(following)
             if below is None:
-                below = child[following] = Counter()
+                below = child[following] = {}
             new += self._count(child, following, below, [rest & low for rest in rests[start:i]], depth - 1)
         return new
 
     @staticmethod
-    def _burst(container: Counter, depth: int) -> dict:
+    def _burst(container: dict, depth: int) -> Node:
         """A node with a container for each next word of the rests."""
         shift = depth * ID_BITS
         low = (1 << shift) - 1
-        node: dict[int, Counter] = {}
+        node = Node()
         for rest, n in container.items():
-            node.setdefault(rest >> shift, Counter())[rest & low] = n
+            node.setdefault(rest >> shift, {})[rest & low] = n
         return node
 
-    def take(self, first: int) -> tuple[list[int], list[int]]:
-        """Remove a first word's subtree: its rests and their counts."""
-        del self.sizes[first]
-        rests: list[int] = []
-        counts: list[int] = []
-        waiting = [(self.children.pop(first), 0, 2)]
-        while waiting:
-            child, above, depth = waiting.pop()
-            if isinstance(child, Counter):
-                rests.extend([above | rest for rest in child] if above else child)
-                counts.extend(child.values())
-            else:
-                waiting.extend((c, above | (word << depth * ID_BITS), depth - 1) for word, c in child.items())
-        return rests, counts
+    def flat(self, first: int) -> dict:
+        """The rests of a first word and their counts."""
+        child = self.children[first]
+        return child if type(child) is dict else self._flat(child, 2)
+
+    def _flat(self, node: Node, depth: int) -> dict:
+        out = {}
+        for word, child in node.items():
+            above = word << depth * ID_BITS
+            below = child if type(child) is dict else self._flat(child, depth - 1)
+            out.update({above | rest: n for rest, n in below.items()})
+        return out
 
 
 def _with_prefixes(a: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,32 +146,24 @@ def _with_prefixes(a: np.ndarray, rest: np.ndarray, n: np.ndarray) -> tuple[np.n
     new_word = np.diff(a, prepend=-1) != 0
     new_pair = new_word | (np.diff(b, prepend=-1) != 0)
     at_word, at_pair = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-    zero = np.zeros(len(a), np.int64)
-    long = c > 0
-    pairs = b[at_pair] > 0
-    keys = [
-        np.stack([a[long], b[long], c[long], d[long]]),
-        np.stack([a[at_pair], b[at_pair], zero[at_pair], zero[at_pair]])[:, pairs],
-        np.stack([a[at_word], zero[at_word], zero[at_word], zero[at_word]]),
-    ]
-    counts = [n[long], np.add.reduceat(n, at_pair)[pairs], np.add.reduceat(n, at_word)]
-    return np.concatenate(keys, axis=1), np.concatenate(counts)
-
-
-def _packed(lang: str, words: list[bytes], keys: np.ndarray, counts: np.ndarray) -> bytes:
+    at_long, is_pair = np.flatnonzero(c), b[at_pair] > 0
+    counts = [np.add.reduceat(n, at_word), np.add.reduceat(n, at_pair)[is_pair], n[at_long]]
+    at_pair = at_pair[is_pair]
+    # A word's total comes before its pairs, a pair's before its windows.
+    order = np.argsort(np.concatenate([3 * at_word, 3 * at_pair + 1, 3 * at_long + 2]), kind="stable")
+    words, pairs = len(at_word), len(at_word) + len(at_pair)
+    keys = np.stack([x[np.concatenate([at_word, at_pair, at_long])] for x in (a, b, c, d)])
+    keys[1:, :words] = 0
+    keys[2:, words:pairs] = 0
+    return keys[:, order], np.concatenate(counts)[order]
+
+
+def _packed(lang: str, names: list[bytes], keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run: its language, its own words in byte order, ranks of words by column, counts."""
-    used, ranks = np.unique(keys, return_inverse=True)
-    names = [words[i] for i in used.tolist()]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    place = np.empty(len(names), np.int64)
-    place[order] = np.arange(len(names))
-    keys = place[ranks.reshape(keys.shape)]
-    by_word = np.lexsort(keys[::-1])
-    keys, counts = keys[:, by_word], counts[by_word]
     kind = "<u2" if len(names) <= 1 << 16 else "<u4"
     name = lang.encode()
     # No word holds a full stop, so it parts the words.
-    head = b".".join([names[i] for i in order])
+    head = b".".join(names)
     sizes = np.array([len(name), len(head), len(names), len(counts)], "<i8").tobytes()
     body = b"".join([sizes, name, head, keys.astype(kind).tobytes(), counts.astype("<i8").tobytes()])
     return zstandard.ZstdCompressor(level=1).compress(body)
@@ -216,13 +209,16 @@ class Counting:
                 yield from self.spill(0)
                 self.start()
             elif self.held > HELD_WINDOWS:
-                yield from self.spill(HELD_WINDOWS // 2)
+                yield from self.spill(HELD_WINDOWS // 4)
 
     def spill(self, leave: int) -> Iterator[tuple[int, bytes]]:
         """The largest subtrees as runs, until so many windows are left."""
-        largest = sorted(
-            ((size, lang, word) for lang, trie in self.tries.items() for word, size in trie.sizes.items()), reverse=True
-        )
+        largest = [
+            (len(child) if type(child) is dict else child.size(), lang, word)
+            for lang, trie in self.tries.items()
+            for word, child in trie.children.items()
+        ]
+        largest.sort(reverse=True)
         leaving: dict[str, list[int]] = {}
         for size, lang, word in largest:
             if self.held <= leave:
@@ -231,21 +227,38 @@ class Counting:
             self.held -= size
         words = list(self.ids)
         words[0] = b""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        words = [words[i] for i in order]
+        # From here on a word's number is its place in byte order; the empty one stays 0.
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
         hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+        used = np.zeros(len(words), bool)
         for lang, firsts in leaving.items():
-            taken = [self.tries[lang].take(word) for word in firsts]
-            sizes = [len(rests) for rests, _ in taken]
+            trie = self.tries[lang]
+            taken = [trie.flat(word) for word in firsts]
+            sizes = list(map(len, taken))
             total = sum(sizes)
-            rest = np.fromiter(chain.from_iterable(r for r, _ in taken), np.int64, total)
-            n = np.fromiter(chain.from_iterable(c for _, c in taken), np.int64, total)
+            rest = np.fromiter(chain.from_iterable(taken), np.int64, total)
+            n = np.fromiter(chain.from_iterable(map(dict.values, taken)), np.int64, total)
             del taken
-            keys, counts = _with_prefixes(np.repeat(np.array(firsts, np.int64), sizes), rest, n)
+            for word in firsts:
+                del trie.children[word]
+            b, c, d = place[rest >> 2 * ID_BITS], place[(rest >> ID_BITS) & ID_MASK], place[rest & ID_MASK]
+            rest = (b << 2 * ID_BITS) | (c << ID_BITS) | d
+            keys, counts = _with_prefixes(place[np.repeat(np.array(firsts, np.int64), sizes)], rest, n)
             part = self._parts(lang, hashes, keys)
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
+            rank = np.zeros(len(words), np.int64)
             for start, end in zip(cuts, [*cuts[1:], len(order)]):
                 own = order[start:end]
-                yield int(part[own[0]]), _packed(lang, words, keys[:, own], counts[own])
+                entries = keys[:, own]
+                used[entries] = True
+                names = np.flatnonzero(used)
+                used[names] = False
+                rank[names] = np.arange(len(names))
+                yield int(part[own[0]]), _packed(lang, [words[i] for i in names.tolist()], rank[entries], counts[own])
 
     def _parts(self, lang: str, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Prefix partition of each entry: by its language and first three words, whatever the task."""
@@ -268,7 +281,7 @@ def merged(runs: Iterable[bytes], least: int) -> Iterator[tuple[str, list[str],
         own = [np.fromiter(map(rank.__getitem__, words), np.int64, len(words))[keys] for words, keys, _ in held]
         keys, counts = np.concatenate(own, axis=1), np.concatenate([n for *_, n in held])
         del own, held
-        order = np.lexsort(keys[::-1])
+        order = np.lexsort(((keys[2] << 32) | keys[3], (keys[0] << 32) | keys[1]))
         keys, counts = keys[:, order], counts[order]
         new = np.zeros(len(counts), bool)
         none = 0 if names[0] == b"" else -1
