@@ -23,13 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.llm.common import Scratch, ship, slices
-from docledger.llm.tokens import Lately
 
 WINDOW = 2048
 #: A combination that the greedy step may use leaves at most this part of a window empty.
 WASTE = 64
-#: Words and parts of words whose ids a worker remembers.
-CACHED_WORDS, CACHED_PARTS = 200_000, 120_000
 #: Rests whose lengths are added up in one group.
 POOL_GROUP = 1 << 14
 
@@ -40,25 +37,55 @@ PIECE = (
 
 # ---- ids of whole texts ----
 
-#: A word with the white space before it; what lies between two of them never shares a token.
-WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: White space that these words don't know.
-OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MARKS = ".,;:!?"
+#: How a byte-level tokenizer file cuts texts, and the bytes that it writes as they are.
+CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Longer runs of white space go to the library, as the faster matcher may not take them.
+LONG_SPACE = re.compile(r"\s{10000}")
+
+
+def byte_ranks(rules: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids of a tokenizer file whose ids are the order of its merges, else None.
+
+    Only plain byte-level pair encoding will do: no normalizer, prefix space or post-processor, added tokens
+    that stand for themselves alone, and one merge for each token, in the order of ids.
+    """
+    first, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+    others = [rules.get(name) for name in ("normalizer", "post_processor", "truncation", "padding")]
+    others += [model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")]
+    others += [model.get(name) for name in ("fuse_unk", "byte_fallback", "ignore_merges")]
+    others += [token.get(name) for token in rules.get("added_tokens", []) for name in ("lstrip", "rstrip", "single_word")]
+    if not plain or any(others) or model.get("type") != "BPE":
+        return None
+    hidden = [b for b in range(256) if b not in set(PRINTED)]
+    byte_of = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    merged = ["".join(m.split(" ")) if isinstance(m, str) else "".join(m) for m in model["merges"]]
+    order = [model["vocab"][token] for token in merged]
+    if order != list(range(256, 256 + len(order))) or len(model["vocab"]) != 256 + len(order):
+        return None
+    return {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items()}
 
 
 class Encoder:
-    """Ids of whole texts: each word once where the file's rules are byte-level words, else text by text."""
+    """Ids of whole texts as a tokenizers file gives them.
+
+    A file of plain byte-level rules is run by tiktoken, which gives the same ids some times faster; texts
+    that hold an added token, and all texts of other files, are encoded by the tokenizers library itself.
+    """
 
     _made: dict = {}
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.by_word = self.cuts_at_words(json.load(file))
-        self.words, self.parts = Lately(CACHED_WORDS), Lately(CACHED_PARTS)
+            rules = json.load(file)
+        ranks = byte_ranks(rules)
+        self.added = [token["content"] for token in rules.get("added_tokens", [])]
+        self.fast = ranks and tiktoken.Encoding("file", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,59 +93,14 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    @staticmethod
-    def cuts_at_words(rules: dict) -> bool:
-        """Whether a text's ids are those of its words, one after the other."""
-        first = rules.get("pre_tokenizer") or {}
-        plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
-        others = [rules.get(name) for name in ("normalizer", "post_processor", "truncation", "padding")]
-        loose = any(
-            token.get(name) for token in rules.get("added_tokens", []) for name in ("lstrip", "rstrip", "single_word")
-        )
-        spaced = any(re.search(r"\s", token["content"]) for token in rules.get("added_tokens", []))
-        return plain and not any(others) and not loose and not spaced
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if not self.by_word or OTHER_SPACE.search(t)]
-        apart = set(whole)
-        words = [[] if i in apart else WORD.findall(t) for i, t in enumerate(texts)]
-        get = self.words.young.get
-        codes = [list(map(get, own)) for own in words]
-        new = {w for own, found in zip(words, codes) if None in found for w, c in zip(own, found) if c is None}
-        known = self._words(new) if new else {}
-        out = [
-            b"".join(found if None not in found else [known[w] if c is None else c for w, c in zip(own, found)])
-            for own, found in zip(words, codes)
-        ]
-        if whole:
-            for i, code in zip(whole, self._library([texts[i] for i in whole])):
-                out[i] = code
-        return out
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", f.ids).tobytes() for f in found]
-
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not among the youngest; marks after a letter are apart from it."""
-        out, cut = {}, {}
-        for word in words:
-            code = self.words.old.get(word)
-            if code is not None:
-                out[word] = code
-                continue
-            letters = word.rstrip(MARKS)
-            cut[word] = (letters, word[len(letters) :]) if letters[-1:].isalpha() else (word, "")
-        parts = {p: self.parts.get(p) for p in {p for both in cut.values() for p in both}}
-        new = [p for p, code in parts.items() if code is None]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            parts.update(zip(some, self._library(some)))
-        out.update({word: parts[letters] + parts[end] for word, (letters, end) in cut.items()})
-        self.parts.keep(parts)
-        self.words.keep(out)
-        return out
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        odd = any(token in text for token in self.added) or (len(text) >= 10_000 and LONG_SPACE.search(text))
+        if self.fast and not odd:
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
 
 # ---- the plan ----
@@ -279,9 +261,8 @@ def _pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, doc_id: s
         bins = [0, *(bin_of(n, window) for n in range(1, window + 1))]
         for batch in slices(batches):
             rows = []
-            bodies = encoder.encode([body or "" for body in batch.column(1).to_pylist()])
-            for name, code in zip(batch.column(0).to_pylist(), bodies):
-                code += end
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code = encoder.encode(body or "") + end
                 total = len(code) // 4
                 for start in range(0, total, window):
                     length = min(window, total - start)

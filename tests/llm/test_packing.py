@@ -27,17 +27,31 @@ def odd_texts(seed=4, n=400):
 
 def test_ids_are_those_of_the_library(tokenizer):
     encoder = packing.Encoder(packing.default_tokenizer())
-    assert encoder.by_word
-    texts = odd_texts() + [" ".join(odd_texts(5, 200))]
-    for _ in range(2):  # the second time from memory
-        for text, code in zip(texts, encoder.encode(texts)):
-            assert list(array("I", code)) == tokenizer.encode(text, add_special_tokens=False).ids, text
-
-
-def test_other_rules_are_not_cut_at_words():
-    assert not packing.Encoder.cuts_at_words({"pre_tokenizer": {"type": "Whitespace"}})
-    assert not packing.Encoder.cuts_at_words({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})
-    assert not packing.Encoder.cuts_at_words({"pre_tokenizer": {"type": "ByteLevel"}, "normalizer": {"type": "NFC"}})
+    assert encoder.fast
+    rnd = random.Random(6)
+    texts = odd_texts() + [" ".join(odd_texts(5, 200)), "", " " * 30_000 + "a", "x" * 5000, "\u0301\u0301e"]
+    texts += ["".join(chr(rnd.choice([rnd.randint(1, 127), rnd.randint(128, 0xD7FF)])) for _ in range(60)) for _ in range(500)]
+    texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(40)) for _ in range(500)]
+    for text in texts:
+        assert list(array("I", encoder.encode(text))) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_rules_are_left_to_the_library():
+    import json
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as file:
+        rules = json.load(file)
+    assert packing.byte_ranks(rules)
+    model = rules["model"]
+    for change in (
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+        {"normalizer": {"type": "NFC"}},
+        {"added_tokens": [{"content": "<x>", "lstrip": True}]},
+        {"model": model | {"merges": model["merges"][::-1]}},
+        {"model": model | {"dropout": 0.1}},
+    ):
+        assert packing.byte_ranks(rules | change) is None
 
 
 def check(rows, pieces, tokenizer, window):
