@@ -482,12 +482,13 @@ def _(spark, sf):
 
 
 def _status_stream(spark, sf) -> str:
+    """The log in five batches, in no order of time; a snapshot after each second one, then a tail."""
     base = work_folder(spark, "status")
     log = event_log(spark, sf).select("id", "status", "seq")
-    log.write.parquet(f"{base}/log")
-    stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+    log.repartition(5, F.xxhash64("id", "seq")).write.parquet(f"{base}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
     S.status_latest_stream(
-        stream, f"{base}/latest", f"{base}/checkpoint", interval=None
+        stream, f"{base}/latest", f"{base}/checkpoint", interval=None, compact_every=2
     ).awaitTermination()
     return f"{base}/latest"
 

@@ -15,9 +15,9 @@ from docledger.operators.objects import (
     OBJECT_SLOTS,
     SLOT_PREFIX,
     STORED_AT,
-    latest_objects,
     with_key_slot,
 )
+from docledger.sources.ledger import BATCH, RUN, Ledger
 
 
 def outputs_of(processed: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def outputs_of(processed: DataFrame) -> DataFrame:
         F.lit(K.XML_TYPE).alias("content_type"),
         F.encode("xml", "UTF-8").alias("content"),
         "id",
+        "started_at",
     )
 
 
@@ -90,19 +91,27 @@ def finished_jobs(processed: DataFrame) -> DataFrame:
 def write_batch(df: DataFrame, path: str, run: str, batch_id: int, *partitions: str) -> None:
     """Write one batch of a run; writing it again replaces it, and no other run's rows."""
     (
-        df.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id)})
+        df.withColumns({RUN: F.lit(run), BATCH: F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "batch_id", *partitions)
+        .partitionBy(RUN, BATCH, *partitions)
         .parquet(path)
     )
 
 
+def output_ledger(path: str) -> Ledger:
+    """The output objects under a path: of several for one key the job that started last counts."""
+    return Ledger(path, ("bucket", "object_key"), ("started_at", "id"), ("bucket",))
+
+
 def write_outputs(processed: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
-    """Output objects; of several for one key the job that started last wins."""
-    ranked = outputs_of(processed).join(processed.select("id", "started_at"), "id")
-    last = latest_objects(ranked, F.struct("started_at", "id")).drop("started_at")
-    write_batch(last, path, run, batch_id, "bucket")
+    """Append the output objects of a batch; ``last_outputs`` tells which of several for one key counts."""
+    write_batch(outputs_of(processed), path, run, batch_id, *output_ledger(path).partitions)
+
+
+def last_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """The last output of every key over all batches and runs, as an object store would hold them."""
+    return output_ledger(path).latest(spark).drop(RUN, BATCH)
 
 
 def write_errors(processed: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
@@ -121,7 +130,7 @@ def write_jobs(processed: DataFrame, path: str, run: str, batch_id: int = 0) ->
 
 def job_log(spark: SparkSession, path: str) -> DataFrame:
     """The log rows that ``write_started`` and ``write_jobs`` wrote."""
-    return spark.read.parquet(path).drop("run_id", "batch_id", "phase")
+    return spark.read.parquet(path).drop(RUN, BATCH, "phase")
 
 
 def write_objects(

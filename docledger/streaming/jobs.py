@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docledger.functions.keys import OUTPUT_BUCKET
-from docledger.operators.jobs import jobs_counts, latest_jobs
+from docledger.operators.jobs import PROCESSING, jobs_counts, latest_jobs
 from docledger.operators.objects import attach_objects, with_event_defaults
 from docledger.plans.pipeline import process_attached
 from docledger.sources import sinks
+from docledger.sources.ledger import Ledger
 
 POLL_INTERVAL = "30 seconds"  # fixed value: default poll interval
+FORGET_AFTER = "1 hour"
+COMPACT_EVERY = 100
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def trigger(writer: DataStreamWriter, interval: str | None = POLL_INTERVAL) -> DataStreamWriter:
@@ -100,26 +109,104 @@ def process_inbox_stream(
     return trigger(writer, interval).foreachBatch(batch).start()
 
 
+def _newest_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per job and Arrow batch, so that a job with very many rows sends few to its state."""
+    for rows in frames:
+        yield rows.sort_values("seq", kind="stable").drop_duplicates("id", keep="last")
+
+
+def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFrame:
+    """(id, status, seq) whenever a job's latest status changes.
+
+    State holds one status and one number per job. A job that has ended leaves it ``forget_after``
+    later; a row of it that comes later still is reported again, and its number decides who was last.
+    """
+    wait = int(_milliseconds(forget_after))
+
+    def changed(
+        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get if state.exists else None
+        newest = known
+        for rows in frames:
+            for status, seq in zip(rows["status"], rows["seq"]):
+                if newest is None or seq > newest[1]:
+                    newest = (status, int(seq))
+        state.update(newest)
+        if newest[0] != PROCESSING:
+            state.setTimeoutDuration(wait)
+        if newest != known:
+            yield pd.DataFrame({"id": [key[0]], "status": [newest[0]], "seq": [newest[1]]})
+
+    set_rows = log.select("id", "status", "seq").where("status is not null and seq is not null")
+    reduced = set_rows.mapInPandas(_newest_of_batches, "id string, status string, seq long")
+    return reduced.groupBy("id").applyInPandasWithState(
+        changed,
+        "id string, status string, seq long",
+        "status string, seq long",
+        "update",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
+
+def _milliseconds(duration: str) -> float:
+    """A span such as "1 hour" or "30 seconds"."""
+    number, unit = duration.split()
+    return float(number) * {"second": 1e3, "minute": 6e4, "hour": 36e5, "day": 864e5}[unit.rstrip("s")]
+
+
+def status_ledger(path: str) -> Ledger:
+    return Ledger(path, ("id",), ("seq",))
+
+
 def status_latest_stream(
-    log: DataFrame, path: str, checkpoint: str, interval: str | None = POLL_INTERVAL
+    log: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = POLL_INTERVAL,
+    forget_after: str = FORGET_AFTER,
+    compact_every: int = COMPACT_EVERY,
 ):
-    """Latest status per job as state; each batch writes the jobs that changed.
+    """Keep the latest status of every job under ``path``: each batch appends the jobs that changed.
 
-    A job's state is one status and one number, however many log rows it has.
+    State is bounded by the open jobs and those that ended lately, on disk in RocksDB. Every
+    ``compact_every`` batches the changes are folded into a snapshot, so a reader merges it with a
+    short tail.
     """
-    latest = log.groupBy("id").agg(
-        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"),
-        F.max("seq").alias("seq"),
-    )
-    writer = latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return trigger(writer, interval).foreachBatch(
-        lambda df, batch_id: sinks.write_batch(df, path, run_of(checkpoint), batch_id)
-    ).start()
+    spark = log.sparkSession
+    ledger = status_ledger(path)
+
+    def append(df: DataFrame, batch_id: int) -> None:
+        sinks.write_batch(df, path, run_of(checkpoint), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            ledger.compact(df.sparkSession)
+
+    changes = status_changes(log, forget_after)
+    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    # Jobs are forgotten along with the next changes; batches without any would follow one another.
+    with _settings(spark, {STATE_STORE: ROCKSDB, EMPTY_BATCHES: "false"}):
+        return trigger(writer, interval).foreachBatch(append).start()
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that a query takes over when it starts, put back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def status_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Current status per job out of the changes written by ``status_latest_stream``."""
-    return latest_jobs(spark.read.parquet(path), columns=["status"])
+    """Current status per job out of what ``status_latest_stream`` wrote: snapshot and tail."""
+    return latest_jobs(status_ledger(path).rows(spark), columns=["status"])
 
 
 def status_counts_live(spark: SparkSession, path: str) -> DataFrame:

@@ -155,7 +155,7 @@ def test_last_job_wins_an_output_key(spark, tmp_path):
         rows, "id string, status string, output_bucket string, output_object_key string, xml string, started_at timestamp"
     )
     sinks.write_outputs(processed, str(tmp_path / "t"), "run")
-    (row,) = spark.read.parquet(str(tmp_path / "t")).collect()
+    (row,) = sinks.last_outputs(spark, str(tmp_path / "t")).collect()
     assert bytes(row["content"]) == b"<new/>" and row["id"] == "2"
 
 
