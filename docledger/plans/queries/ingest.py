@@ -25,6 +25,7 @@ from docledger.plans.queries.text import PAGE_SQL
 from docledger.plans.render import table
 from docledger.sources import events as E
 from docledger.sources import inbox, mail, sinks
+from docledger.streaming import copies
 from docledger.streaming import jobs as S
 
 # ---- folders ----
@@ -294,12 +295,38 @@ def _(spark, sf):
             F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") % 60).alias("received_at"),
         )
     )
-    kept = X.drop_copies_stream(stream, "hash", "received_at", "1 hour").select("hash")
+    kept = copies.drop_copies_stream(stream, "hash", "received_at", "1 hour").select("hash")
     writer = kept.writeStream.option("checkpointLocation", f"{out}/checkpoint")
     S.trigger(writer, None).format("parquet").start(f"{out}/kept").awaitTermination()
     return spark.read.parquet(f"{out}/kept")
 
 
+@query(
+    "first_rows_stream",
+    """WITH d AS (
+      SELECT doc_id, doc_id % 4 AS part, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'hot' ELSE sha256(text)
+        END AS hash FROM documents
+    ) SELECT doc_id FROM d WHERE hash IS NULL OR hash IN (SELECT hash FROM d GROUP BY hash HAVING count(*) = 1)
+    UNION ALL SELECT doc_id FROM d WHERE hash IS NOT NULL
+      AND hash IN (SELECT hash FROM d GROUP BY hash HAVING count(*) > 1)
+    QUALIFY row_number() OVER (PARTITION BY hash ORDER BY part, doc_id) = 1""",
+)
+def _(spark, sf):
+    """Four batches, half of all rows under one hash, a ninth without; copies come batches later."""
+    base = work_folder(spark, "first-rows")
+    hash_ = F.when(F.col("doc_id") % 9 == 0, F.lit(None)).when(F.col("doc_id") % 2 == 0, "hot")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", hash_.otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("hash")
+    )
+    for part in range(4):
+        docs.where(F.col("doc_id") % 4 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
+        copies.first_rows_stream(
+            stream, "hash", "doc_id", f"{base}/kept", f"{base}/seen", f"{base}/checkpoint", None, compact_every=2
+        ).awaitTermination()
+    return spark.read.parquet(f"{base}/kept").select("doc_id")
+
+
 # ---- events to outputs, errors and jobs ----
 
 _CLOCK = datetime.datetime(2030, 1, 1, tzinfo=datetime.UTC)
@@ -374,6 +401,32 @@ def _(spark, sf):
     return spark.read.parquet(path).select("bucket", "object_key", "content_type", sha)
 
 
+@query(
+    "outputs_last_write",
+    """SELECT 'inv-output' AS bucket, 'out/' || doc_id % 300 || '.xml' AS object_key, sha256(text) AS content_sha256
+      FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 300
+        ORDER BY doc_id * 7919 % 1009 DESC, doc_id % 3 DESC, CAST(doc_id AS VARCHAR) DESC) = 1""",
+)
+def _(spark, sf):
+    """Keys written again and again in three batches, a snapshot after the second: the last job's output counts."""
+    path = work_folder(spark, "last-write")
+    docs = table(spark, sf, "documents")
+    for batch in range(3):
+        processed = docs.where(F.col("doc_id") % 3 == batch).select(
+            F.lit("SUCCESS").alias("status"),
+            F.lit(K.OUTPUT_BUCKET).alias("output_bucket"),
+            F.concat(F.lit("out/"), F.col("doc_id") % 300, F.lit(".xml")).alias("output_object_key"),
+            F.col("text").alias("xml"),
+            F.concat(F.col("doc_id") % 3, F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
+            F.timestamp_seconds(F.col("doc_id") * 7919 % 1009).alias("started_at"),
+        )
+        sinks.write_outputs(processed, path, "run", batch)
+        if batch == 1:
+            sinks.output_ledger(path).compact(spark)
+    sha = F.sha2("content", 256).alias("content_sha256")
+    return sinks.last_outputs(spark, path).select("bucket", "object_key", sha)
+
+
 @query(
     "write_errors",
     facts_sql(
