@@ -229,6 +229,42 @@ def credit_rows(doc: Doc) -> Column:
     return let(first, build)
 
 
+#: Anchors of a run that are walked together: what is kept of them is copied with each step, what came before is not.
+WALK = 256
+
+
+def _walked(anchors: Column, start: Column, end: Column, width: int) -> Column:
+    """Kept anchors of the run at ``start`` to ``end``, part by part; between parts only the last kept one goes on.
+
+    Anchors are fetched one by one: a slice would copy the whole array.
+    """
+    none = F.lit(None).cast("int")
+
+    def part(state: Column, begin: Column) -> Column:
+        own = F.aggregate(
+            F.sequence(begin, F.least(begin + WALK, end) - 1),
+            F.struct(state["last"].alias("last"), F.array().cast("array<int>").alias("kept")),
+            lambda t, i: F.when(
+                t["last"].isNull() | (F.get(anchors, i) - t["last"] >= width),
+                F.struct(
+                    F.get(anchors, i).alias("last"),
+                    F.concat(t["kept"], F.array(F.get(anchors, i))).alias("kept"),
+                ),
+            ).otherwise(t),
+        )
+        return let(
+            own,
+            lambda o: F.struct(
+                o["last"].alias("last"), F.concat(state["parts"], F.array(o["kept"])).alias("parts")
+            ),
+        )
+
+    empty = F.struct(none.alias("last"), F.array().cast("array<array<int>>").alias("parts"))
+    begins = F.sequence(start, end - 1, F.lit(WALK))
+    walked = F.aggregate(begins, empty, part, lambda s: F.flatten(s["parts"]))
+    return F.when(end - start == 1, F.array(F.get(anchors, start))).otherwise(walked)
+
+
 def _greedy(anchors: Column, width: int) -> Column:
     """Anchors that do not fall inside the row of an earlier kept anchor.
 
@@ -244,16 +280,7 @@ def _greedy(anchors: Column, width: int) -> Column:
         def walk(starts: Column) -> Column:
             def run(begin: Column, j: Column) -> Column:
                 end = F.coalesce(F.get(starts, j + 1), F.size(a))
-                members = F.slice(a, begin + 1, end - begin)
-                return F.aggregate(
-                    members,
-                    F.array().cast("array<int>"),
-                    lambda kept, x: F.when(
-                        (F.size(kept) == 0)
-                        | (x - F.try_element_at(kept, F.lit(-1)) >= width),
-                        F.concat(kept, F.array(x)),
-                    ).otherwise(kept),
-                )
+                return _walked(a, begin, end, width)
 
             return F.flatten(F.transform(starts, run))
 
