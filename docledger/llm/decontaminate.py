@@ -113,16 +113,14 @@ def find_benchmark(
     built from at most `pass_bytes` of item text; a larger benchmark takes several passes whose
     results are joined row by row.
 
-    A null or wordless text has no hits, an item without words or id never occurs, equal items all
-    count, an empty benchmark leaves all documents clean. Rows are never grouped, so repeated rows and
+    A null or wordless text has no hits, an item without words never occurs, one without an id
+    marks its words but has no name to be listed, equal items all count, an empty benchmark leaves all documents clean. Rows are never grouped, so repeated rows and
     null ids are kept. Columns of `docs` with the names of the results are replaced.
     """
     ship(docs.sparkSession)
     found, known = free_name(docs, "found"), free_name(docs, "known")
     result = "struct<n_words: long, hit_spans: array<int>, items: array<string>>"
-    items = benchmark.where(F.col(item_id).isNotNull()).select(
-        F.col(item_id).cast("string").alias("id"), bytes_of(item_text).alias("body")
-    )
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), bytes_of(item_text).alias("body"))
     scratch, kept, waiting, size = Scratch(docs.sparkSession, "decontaminate"), None, [], 0
     for row in items.toLocalIterator():
         if waiting and size + len(row.body) > pass_bytes:  # the driver, too, holds the text of one pass only
@@ -148,7 +146,7 @@ def _searched(docs, items, text, window, found, known, result) -> DataFrame:
             {
                 "n_words": [r[0] for r in rows],
                 "hit_spans": [r[1] for r in rows],
-                "items": [sorted(r[2]) for r in rows],
+                "items": [sorted(r[2] - {None}) for r in rows],
             }
         )
 

@@ -54,16 +54,15 @@ def resolve_revisits(
     response or without url or time. Headers are those of the response, updated by the permitted headers
     of the revisit, names in lower case; for outcomes other than `resolved` the revisit's own.
 
-    Null headers are empty. Every revisit row gives a row, repeated rows and null ids included, an empty
+    Null headers are empty; of names that differ in case only the first in byte order counts. Every revisit row gives a row, repeated rows and null ids included, an empty
     table none. A URL may hold any share of the rows: they are looked through span by span of time, and only
     one row per URL and span goes on to later spans. Other columns are ignored.
     """
-    low = F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))
-    low = F.map_from_entries(
-        F.transform(
-            F.map_entries(F.map_filter(low, lambda k, v: v.isNotNull())), lambda e: F.struct(F.lower(e["key"]), e["value"])
-        )
-    )
+    named = F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))
+    entries = F.array_sort(F.map_entries(F.map_filter(named, lambda k, v: v.isNotNull())))
+    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(lowered, lambda e: e["key"])
+    low = F.map_from_entries(F.filter(lowered, lambda e, i: F.array_position(names, e["key"]) == i + 1))
     rows = records.select(
         F.col(record_id).alias("record_id"),
         canonical_url(F.col(url)).alias("canonical_url"),

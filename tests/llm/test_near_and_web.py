@@ -311,3 +311,12 @@ def test_pipeline_of_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF_DIR)
         assert now.count() == (2 if table is docs else 0) or table is docs
+
+
+def test_headers_that_differ_in_case_only(spark):
+    rows = [
+        (1, "http://a.example/x", at(0), "response", {"etag": '"2"', "ETag": '"1"', "Date": "d", "date": "e"}, None, 0),
+        (2, "http://a.example/x", at(1), "revisit", {"eTag": '"9"', "ETAG": '"1"'}, None, 0),
+    ]
+    (row,) = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()
+    assert (row.outcome, row.headers) == ("resolved", {"etag": '"1"', "date": "d"})

@@ -164,3 +164,11 @@ def test_repeated_and_null_ids_are_written(spark):
     docs = spark.createDataFrame([(None, "a"), (4, "b"), (4, "b"), (4, None)], "doc_id long, text string")
     rows = tokens.tokenized(docs, tokens.default_tokenizer()).orderBy(F.col("start")).collect()
     assert [(r.doc_id, r.n_tokens) for r in rows] == [(None, 2), (4, 1), (4, 2), (4, 2)]
+
+
+def test_items_without_an_id_mark_words_and_have_no_name(spark):
+    docs = spark.createDataFrame([(1, "lone wolf pack"), (2, "some other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "Lone wolf"), (None, None), (4, "wolf pack")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.find_benchmark(docs, items)).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (3, 1, True)
+    assert got[1]["items_sha256"] == decontaminate.sha256_of(["4"]) and got[2]["n_hit"] == 0
