@@ -327,6 +327,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/kept").select("doc_id")
 
 
+@query(
+    "write_files",
+    """SELECT 'lang-' || lang || '/' || source || '/' || doc_id || '.txt' AS file, sha256(text) AS content_sha256
+      FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL""",
+)
+def _(spark, sf):
+    """A file for each document, read back from the folder."""
+    folder = work_folder(spark, "files")
+    key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    bucket = F.concat(F.lit("lang-"), "lang")
+    docs = table(spark, sf, "documents")
+    sinks.export_files(docs.select(bucket.alias("bucket"), key.alias("object_key"), F.col("text").alias("content")), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(
+        F.regexp_extract("path", "lang-.*$", 0).alias("file"), F.sha2("content", 256).alias("content_sha256")
+    )
+
+
 # ---- events to outputs, errors and jobs ----
 
 _CLOCK = datetime.datetime(2030, 1, 1, tzinfo=datetime.UTC)

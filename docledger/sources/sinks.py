@@ -6,7 +6,8 @@ import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions import keys as K
@@ -17,7 +18,7 @@ from docledger.operators.objects import (
     STORED_AT,
     with_key_slot,
 )
-from docledger.sources.ledger import BATCH, RUN, Ledger
+from docledger.sources.ledger import BATCH, RUN, Ledger, delete
 
 
 def outputs_of(processed: DataFrame) -> DataFrame:
@@ -148,20 +149,58 @@ def write_objects(
     slotted.write.mode("append" if append else "overwrite").partitionBy(name).parquet(path)
 
 
+DRAFT = "draft string, target string"
+
+
 def export_files(outputs: DataFrame, folder: str) -> None:
-    """One file per object under a folder all executors share, written then renamed."""
+    """One file per object under a folder all executors share; all appear at the end, or none.
+
+    Tasks write drafts, and Spark commits the table that names them, so attempts that were lost or
+    doubled are in no row of it. A second job renames the named drafts; it may run again, as a draft that is
+    gone is a file that is there. Of several rows with one key any one's content stays. Rows without bucket
+    or content have no file.
+    """
+    spark = outputs.sparkSession
+    root = f"{folder.rstrip('/')}/_drafts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def save(rows: Iterator[Row]) -> None:
+        own = f"{root}/files/{uuid.uuid4().hex}"
+        store, path = fs.FileSystem.from_uri(own)
+        store.create_dir(path, recursive=True)
+        n = 0
+        for batch in batches:
+            drafts = []
+            for content in batch.column("content"):
+                with store.open_output_stream(f"{path}/{n}") as file:
+                    file.write(content.as_buffer())
+                drafts.append(f"{own}/{n}")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(drafts, pa.string()), batch.column("target")], names=["draft", "target"])
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
-        for row in rows:
-            target = f"{root}/{row['bucket']}/{row['object_key']}"
-            draft = f"{target}.{uuid.uuid4().hex}.tmp"
-            store.create_dir(target.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(draft) as file:
-                file.write(row["content"])
-            store.move(draft, target)
-
-    safe = outputs.select("bucket", K.safe_key(F.col("object_key")).alias("object_key"), "content")
-    safe.foreachPartition(save)
+        store, top = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for batch in batches:
+            for draft, target in zip(*(c.to_pylist() for c in batch.columns)):
+                source, goal = fs.FileSystem.from_uri(draft)[1], f"{top.rstrip('/')}/{target}"
+                parent = goal.rpartition("/")[0]
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                if store.get_file_info(source).type == fs.FileType.File:
+                    store.move(source, goal)
+            yield batch.slice(0, 0)
+
+    target = F.concat("bucket", F.lit("/"), K.safe_key(F.col("object_key")))
+    safe = outputs.select(target.alias("target"), F.col("content").cast("binary").alias("content"))
+    try:
+        drafts = safe.where("target is not null and content is not null").mapInArrow(write, DRAFT)
+        drafts.write.parquet(f"{root}/named")
+        named = spark.read.schema(DRAFT).parquet(f"{root}/named")
+        named.mapInArrow(publish, DRAFT).write.format("noop").mode("overwrite").save()
+    finally:
+        delete(spark, root)

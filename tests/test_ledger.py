@@ -120,3 +120,18 @@ def test_finished_jobs_leave_the_state(spark, tmp_path):
     assert found == want
     names = {"spark.sql.streaming.stateStore.providerClass"}
     assert all("RocksDB" not in (spark.conf.get(n, "") or "") for n in names)
+
+
+def test_files_appear_all_or_none(spark, tmp_path):
+    folder = tmp_path / "files"
+    rows = [("b", f"d{i % 3}/f{i}.txt", bytes([i])) for i in range(30)] + [("b", "../x/./y.txt", b"up"), (None, "k", b""), ("b", "k", None)]
+    df = spark.createDataFrame(rows, "bucket string, object_key string, content binary").repartition(4)
+    broken = df.withColumn("content", F.when(F.col("object_key") == "d1/f16.txt", F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.export_files(broken, folder.as_uri())
+    assert not [p for p in folder.rglob("*") if p.is_file()]
+    for _ in range(2):
+        sinks.export_files(df, folder.as_uri())
+        found = {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
+        assert {k: v for k, v in found.items() if "y.txt" not in k} == {f"b/d{i % 3}/f{i}.txt": bytes([i]) for i in range(30)}
+        assert len(found) == 31 and all(".." not in k for k in found)
