@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from docledger.operators import jobs as J
+from docledger.operators import objects as O
 from docledger.operators.extensions import drop_copies
 from docledger.operators.lines import assemble_pages, document_lines, page_lines
 from docledger.operators.objects import resolve_objects
@@ -170,3 +171,29 @@ def test_drop_copies_of_one_hot_text(spark):
     )
     kept = {r["id"] for r in drop_copies(df, "id", "t").collect()}
     assert kept == {i for i in range(3000) if i % 3 == 0} | {1}
+
+
+def test_an_object_named_by_half_of_all_events_keeps_tasks_even(spark, monkeypatch):
+    monkeypatch.setattr(O, "HOT_EVENTS", 200)
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+    events = spark.range(8000).select(F.lit("b").alias("bucket"), key.alias("object_key"), F.col("id").alias("event_id"))
+    events = events.unionByName(spark.createDataFrame([("b", None, -1), (None, "hot", -2), ("b", "none", -3)], "bucket string, object_key string, event_id long"))
+    names = ["hot", *map(str, range(1, 8000, 2)), "other"]
+    objects = spark.createDataFrame([("b", n, n.encode()) for n in names], "bucket string, object_key string, content binary")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        met = O.attach_objects(events, objects)
+        assert met.columns == [*events.columns, "content", "found"]
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 8003 and max(sizes) < 1200
+        rows = {r["event_id"]: (r["found"], r["content"] and bytes(r["content"]).decode()) for r in met.collect()}
+        found, missing = O.resolve_objects(events, objects)
+        assert (found.count(), missing.count()) == (8000, 3)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert rows.pop(-1) == rows.pop(-2) == rows.pop(-3) == (False, None)
+    assert all(rows[i] == (True, "hot" if i % 2 == 0 else str(i)) for i in range(8000))
