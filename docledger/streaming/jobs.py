@@ -109,20 +109,20 @@ def process_inbox_stream(
     return trigger(writer, interval).foreachBatch(batch).start()
 
 
-def _newest_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per job and Arrow batch, so that a job with very many rows sends few to its state."""
-    for rows in frames:
-        yield rows.sort_values("seq", kind="stable").drop_duplicates("id", keep="last")
-
-
 def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFrame:
     """(id, status, seq) whenever a job's latest status changes.
 
-    State holds one status and one number per job. A job that has ended leaves it ``forget_after``
+    A job with very many rows is reduced to one for each Arrow batch before its rows are dealt out, and
+    state holds one status and one number per job. A job that has ended leaves it ``forget_after``
     later; a row of it that comes later still is reported again, and its number decides who was last.
     """
     wait = int(_milliseconds(forget_after))
 
+    # Functions made here travel with their code: executors need not have this package.
+    def newest_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            yield rows.sort_values("seq", kind="stable").drop_duplicates("id", keep="last")
+
     def changed(
         key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -142,7 +142,7 @@ def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFram
             yield pd.DataFrame({"id": [key[0]], "status": [newest[0]], "seq": [newest[1]]})
 
     set_rows = log.select("id", "status", "seq").where("status is not null and seq is not null")
-    reduced = set_rows.mapInPandas(_newest_of_batches, "id string, status string, seq long")
+    reduced = set_rows.mapInPandas(newest_of_batches, "id string, status string, seq long")
     return reduced.groupBy("id").applyInPandasWithState(
         changed,
         "id string, status string, seq long",
