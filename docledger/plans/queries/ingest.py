@@ -24,7 +24,7 @@ from docledger.plans.queries.parse import (
 from docledger.plans.queries.text import PAGE_SQL
 from docledger.plans.render import table
 from docledger.sources import events as E
-from docledger.sources import inbox, mail, sinks
+from docledger.sources import inbox, mail, sinks, xml_compare
 from docledger.streaming import copies
 from docledger.streaming import jobs as S
 
@@ -345,6 +345,40 @@ def _(spark, sf):
     )
 
 
+@query(
+    "xml_differences",
+    """WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+    SELECT doc_id, '/' AS path, 'only_left' AS change, '' AS left_value, '' AS right_value FROM d WHERE doc_id % 11 = 0
+    UNION ALL SELECT doc_id, '/doc/line[1]/lang[1]', 'changed', lang, lang || '-x' FROM d
+      WHERE doc_id % 5 = 0 AND doc_id % 11 > 0
+    UNION ALL SELECT doc_id, '/doc/line[2]', 'only_right', '', '@n=2' FROM d WHERE doc_id % 7 = 0 AND doc_id % 11 > 0
+    UNION ALL SELECT doc_id, '/doc', 'changed', '@id=' || doc_id, '@id=' || doc_id || '0' FROM d
+      WHERE doc_id % 13 = 0 AND doc_id % 11 > 0""",
+)
+def _(spark, sf):
+    """Planted changes: a value, an added part, an attribute of the root, and documents left out."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")
+    )
+
+    def xml(number, lang, more):
+        return F.concat(
+            F.lit('<doc id="'), number, F.lit('"><line n="1"><lang>'), lang, F.lit("</lang><source>"), "source",
+            F.lit("</source></line>"), more, F.lit("</doc>"),
+        )
+
+    own = F.col("doc_id").cast("string")
+    left = docs.select("doc_id", xml(own, F.col("lang"), F.lit("")).alias("xml"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("lang", F.lit("-x"))).otherwise(F.col("lang"))
+    number = F.when(F.col("doc_id") % 13 == 0, F.concat(own, F.lit("0"))).otherwise(own)
+    more = F.when(F.col("doc_id") % 7 == 0, '<line n="2"><lang>q</lang></line>').otherwise("")
+    right = docs.where(F.col("doc_id") % 11 > 0).select("doc_id", xml(number, changed, more).alias("xml"))
+    found = xml_compare.xml_differences(left, right, "doc_id", "xml")
+    return found.select(
+        "doc_id", "path", "change", *[text(F.col(c), c) for c in ("left_value", "right_value")]
+    )
+
+
 # ---- events to outputs, errors and jobs ----
 
 _CLOCK = datetime.datetime(2030, 1, 1, tzinfo=datetime.UTC)
