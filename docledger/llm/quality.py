@@ -263,12 +263,13 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows:
     share = min(1.0, fit_rows / max(sum(patterns["form"].values()), 1))
     chosen = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     sample = _voted(body.where(chosen), "text", "v").select("v", hashed(bytes_of("text")).alias("f")).limit(2 * fit_rows)
-    # Arrow keeps the rows as flat arrays; each row is a view of them.
-    held = sample.select("v.form", "v.tone", "f.at", "f.x").toArrow().combine_chunks()
-    columns = [held.column(n).combine_chunks() for n in ("at", "x")] if held.num_rows else []
-    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
-    ends = columns[0].offsets.to_numpy() - columns[0].offsets[0].as_py() if columns else np.zeros(1, int)
-    rows = [tuple(f[start:end] for f in flat) for start, end in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    # Arrow keeps the rows as flat arrays; each row is a view of them, without a copy.
+    held = sample.select("v.form", "v.tone", "f.at", "f.x").toArrow()
+    rows = []
+    for both in zip(held.column("at").chunks, held.column("x").chunks):
+        flat = [c.values.to_numpy(zero_copy_only=False) for c in both]
+        ends = [c.offsets.to_numpy().tolist() for c in both]
+        rows += [(flat[0][a:b], flat[1][c:d]) for a, b, c, d in zip(ends[0], ends[0][1:], ends[1], ends[1][1:])]
     marks = {facet: [labels[facet].bad_of[v] for v in held.column(facet).to_pylist()] for facet in ("form", "tone")}
     return QualityModel(labels, {k: Scorer.fit(rows, np.array(v)) for k, v in marks.items()})
 
