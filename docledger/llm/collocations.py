@@ -35,6 +35,8 @@ HELD_WORD_BYTES = 48 << 20
 TEXT_BYTES = 1 << 20
 #: Prefix partitions for each shuffle partition.
 PARTITION_FACTOR = 2
+#: Shares in which the phrases of a language are ranked before all together.
+LANG_SHARES = 64
 UNKNOWN_LANG = "und"
 
 #: A-Z in lower case, tab as space, and every end of a piece as a full stop.
@@ -401,8 +403,13 @@ def collocations(
     )
     alone = F.col("longer").isNull() | (_wide("longer") * 100 < _wide("a") * contained_percent)
     kept = best.join(held, ["lang", "phrase"], "left").where(alone)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    # A language may have most phrases: each of its shares is cut to the wanted number first.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    dealt = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(LANG_SHARES)))
+    turn = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
+    best = dealt.withColumn("turn", turn).where(F.col("turn") <= per_lang)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ranked = best.withColumn("rank", rank).where(F.col("rank") <= per_lang)
     # One row per language.
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
