@@ -286,10 +286,10 @@ def _(spark, sf):
 def _(spark, sf):
     out = work_folder(spark, "stream-copies")
     documents = table(spark, sf, "documents")
+    # A pattern matches the table as one file and as a folder of files; a plain path must be a folder.
     stream = (
         spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
+        .parquet(f"{sf}/documents.parque[t]")
         .select(
             F.sha2(F.col("text").cast("binary"), 256).alias("hash"),
             F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id") % 60).alias("received_at"),

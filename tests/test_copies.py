@@ -1,9 +1,11 @@
 """Copies on streams: hot keys, rows without a key, late copies and batches that run again."""
 
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from docledger.plans.queries import QUERIES
 from docledger.streaming import copies
 from docledger.streaming.jobs import trigger
 
@@ -68,3 +70,13 @@ def test_stream_keeps_rows_without_a_key_and_one_of_a_hot_key(spark, tmp_path):
     found = Counter(r["hash"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert found.pop(None) == 600 and found["hot"] == 1 and set(found.values()) == {1} and len(found) == 2401
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3001
+
+
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_path):
+    rows = [(i, f"text {i % 7}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["drop_copies_stream"](spark, str(tmp_path))
+    assert Counter(r["hash"] for r in found.collect()) == Counter(
+        hashlib.sha256(f"text {i}".encode()).hexdigest() for i in range(7)
+    )
