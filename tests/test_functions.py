@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -143,3 +144,20 @@ def test_labels(column):
     assert column(["plain", "it's", 'a "b"', "both ' \""], X.quoted) == [
         repr(v) for v in ("plain", "it's", 'a "b"', "both ' \"")
     ]
+
+
+def test_lines_are_cut_as_by_one_pattern(column):
+    """Random mixtures of blanks, breaks and letters against the cut as a single pattern."""
+    pick = random.Random(5)
+    pieces = ["a", "é", "€", " ", " ", "\n", "\n", "\r\n", "\t", "\x0b", "\x1e", "\x1f", "\u0085", " ", " ", " "]
+    texts = ["".join(pick.choices(pieces, k=pick.randrange(24))) for _ in range(2000)]
+    white = f"[{X.BREAKS}{X.BLANKS}]"
+    cut = lambda x: F.filter(F.split(F.trim(x), rf"{white}*[{X.BREAKS}]{white}*"), lambda v: v != "")
+    plain = lambda x: F.transform(cut(x), lambda v: F.trim(F.regexp_replace(v, rf"[{X.BLANKS}]+", " ")))
+    whole = lambda x: F.filter(plain(x), lambda v: v != "")
+    assert column(texts, X.clean_line_array) == column(texts, whole)
+
+
+def test_the_cut_of_lines_compiles_no_pattern_for_a_row(spark):
+    frame = spark.createDataFrame([("a",)], "x string").select(X.clean_line_array(F.col("x")))
+    assert ", \n, -1)" in frame._jdf.queryExecution().optimizedPlan().toString()
