@@ -22,6 +22,7 @@ from docledger.sources.ledger import Ledger
 
 POLL_INTERVAL = "30 seconds"  # fixed value: default poll interval
 FORGET_AFTER = "1 hour"
+STATE_SLOTS = 4096  # a checkpoint keeps to its number
 COMPACT_EVERY = 100
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -113,10 +114,13 @@ def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFram
     """(id, status, seq) whenever a job's latest status changes.
 
     A job with very many rows is reduced to one for each Arrow batch before its rows are dealt out, and
-    state holds one status and one number per job. A job that has ended leaves it ``forget_after``
-    later; a row of it that comes later still is reported again, and its number decides who was last.
+    state holds one status and one number per job. Jobs share their state in ``STATE_SLOTS`` slots by a hash of
+    the id, as a call of Python for each job costs a hundred times the work in it. A job that has ended leaves
+    it ``forget_after`` later; a row of it that comes later still is reported again, and its number decides who was
+    last. A checkpoint of the time when each job had its own state can't be continued.
     """
     wait = int(_milliseconds(forget_after))
+    open_status = PROCESSING
 
     # Functions made here travel with their code: executors need not have this package.
     def newest_of_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,29 +128,40 @@ def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFram
             yield rows.sort_values("seq", kind="stable").drop_duplicates("id", keep="last")
 
     def changed(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
+        key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now = state.getCurrentProcessingTimeMs()
+        # Per job its status, number and the time it is forgotten, 0 while it is open.
+        known = {id: job for id, *job in zip(*state.get)} if state.exists else {}
+        newest = {}
+        for rows in () if state.hasTimedOut else frames:
+            for id, status, seq in zip(rows["id"], rows["status"], rows["seq"].tolist()):
+                job = newest.get(id) or known.get(id)
+                if job is None or seq > job[1]:
+                    newest[id] = [status, seq, 0]
+                elif id not in newest:
+                    newest[id] = [*job[:2], 0]
+        changes = [(id, *job[:2]) for id, job in newest.items() if known.get(id, ())[:2] != job[:2]]
+        for job in newest.values():
+            job[2] = 0 if job[0] == open_status else now + wait
+        held = {id: job for id, job in known.items() if job[2] == 0 or job[2] > now} | newest
+        if held:
+            state.update(([*held], *map(list, zip(*held.values()))))
+            ends = [job[2] for job in held.values() if job[2]]
+            if ends:
+                state.setTimeoutDuration(max(min(ends) - now, 1))
+        else:
             state.remove()
-            return
-        known = state.get if state.exists else None
-        newest = known
-        for rows in frames:
-            for status, seq in zip(rows["status"], rows["seq"]):
-                if newest is None or seq > newest[1]:
-                    newest = (status, int(seq))
-        state.update(newest)
-        if newest[0] != PROCESSING:
-            state.setTimeoutDuration(wait)
-        if newest != known:
-            yield pd.DataFrame({"id": [key[0]], "status": [newest[0]], "seq": [newest[1]]})
+        if changes:
+            yield pd.DataFrame(changes, columns=["id", "status", "seq"])
 
     set_rows = log.select("id", "status", "seq").where("status is not null and seq is not null")
     reduced = set_rows.mapInPandas(newest_of_batches, "id string, status string, seq long")
-    return reduced.groupBy("id").applyInPandasWithState(
+    slot = F.pmod(F.xxhash64("id"), F.lit(STATE_SLOTS)).cast("int")
+    return reduced.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(
         changed,
         "id string, status string, seq long",
-        "status string, seq long",
+        "id array<string>, status array<string>, seq array<long>, until array<long>",
         "update",
         GroupStateTimeout.ProcessingTimeTimeout,
     )

@@ -135,3 +135,25 @@ def test_files_appear_all_or_none(spark, tmp_path):
         found = {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file()}
         assert {k: v for k, v in found.items() if "y.txt" not in k} == {f"b/d{i % 3}/f{i}.txt": bytes([i]) for i in range(30)}
         assert len(found) == 31 and all(".." not in k for k in found)
+
+
+def test_jobs_share_python_calls_and_state(spark, tmp_path, monkeypatch):
+    """Jobs of one slot keep a status each: late rows do not win, ended ones leave alone, groups are few."""
+    monkeypatch.setattr(S, "STATE_SLOTS", 2)
+    options = {"forget_after": "1 second", "compact_every": 2}
+    jobs = [f"j{i}" for i in range(200)]
+    rows = [(j, J.PROCESSING, 0) for j in jobs] + [(j, J.SUCCESS, 2) for j in jobs[:150]]
+    assert run_status(spark, tmp_path, rows, **options) == 2
+    late = [(j, J.ERROR, 1) for j in jobs[100:160]] + [("n1", J.PROCESSING, 0), (None, J.ERROR, 1)]
+    assert run_status(spark, tmp_path, late, **options) == 2
+    want = dict.fromkeys(jobs[:150], J.SUCCESS) | dict.fromkeys(jobs[150:], J.PROCESSING)
+    want |= dict.fromkeys(jobs[150:160], J.ERROR) | {"n1": J.PROCESSING, None: J.ERROR}
+    assert statuses(spark, tmp_path) == want
+    written = spark.read.parquet(str(tmp_path / "latest"))
+    assert written.where("batch_id = 1").count() == 12  # only jobs whose status changed
+    time.sleep(1.5)
+    ended = [(j, J.SUCCESS, 9) for j in [*jobs[160:], "n1"]]
+    assert run_status(spark, tmp_path, ended, **options) == 2
+    time.sleep(1.5)
+    assert run_status(spark, tmp_path, [("j0", J.ERROR, 1)], **options) == 1  # all others are forgotten
+    assert statuses(spark, tmp_path) == want | {id: J.SUCCESS for id, _, _ in ended}
