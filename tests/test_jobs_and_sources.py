@@ -10,11 +10,13 @@ from docledger.operators import objects as O
 from docledger.operators.extensions import drop_copies
 from docledger.operators.lines import assemble_pages, document_lines, page_lines
 from docledger.operators.objects import resolve_objects
-from docledger.plans.queries.ingest import _processed
+from docledger.plans.queries.ingest import _processed, _upload_events
+from docledger.plans.queries.parse import broken_documents
 from docledger.schemas import MAIL
 from docledger.sources import events as E
 from docledger.sources import inbox, mail, sinks
 from docledger.streaming import jobs as S
+from conftest import SF_DIR
 from tests_data import EU, RECEIPT
 
 T0 = datetime.datetime(2026, 1, 1, 10, 0, 0)
@@ -197,3 +199,33 @@ def test_an_object_named_by_half_of_all_events_keeps_tasks_even(spark, monkeypat
             spark.conf.set(name, value)
     assert rows.pop(-1) == rows.pop(-2) == rows.pop(-3) == (False, None)
     assert all(rows[i] == (True, "hot" if i % 2 == 0 else str(i)) for i in range(8000))
+
+
+def test_contents_move_once_where_no_key_is_hot(spark):
+    named = [("b", str(i % 20), i) for i in range(50)]
+    events = spark.createDataFrame(named, "bucket string, object_key string, event_id long")
+    rows = [("b", str(k), f"{k}-{at}".encode(), at) for k in range(15) for at in (1, 2)] + [(None, "3", b"none", 3)]
+    objects = spark.createDataFrame(rows, "bucket string, object_key string, content binary, stored_at long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        met = O.attach_objects(events, objects)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"- (?:Reused)?Exchange\b", plan)) <= 3  # events, their keys, and objects
+        found = {r["event_id"]: (r["found"], r["content"] and bytes(r["content"])) for r in met.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == {i: (True, f"{i % 20}-2".encode()) if i % 20 < 15 else (False, None) for i in range(50)}
+
+
+def test_events_of_the_queries_do_not_join_orders_again(spark):
+    docs = broken_documents(spark, SF_DIR)
+    events = _upload_events(docs)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    keys = [r["doc_key"] for r in docs.select("doc_key").collect()]
+    want = [*keys, *(f"x{k}" for k in keys if int(k) % 10 == 0)]
+    assert sorted(r["event_id"] for r in events.collect()) == sorted(want)
