@@ -51,7 +51,8 @@ def _write_batch(
     sinks.write_started(events, f"{base}/jobs", run, batch_id)
     clock = F.lit(datetime.now(UTC))
     path = f"{base}/processed/run_id={run}/batch_id={batch_id}"
-    process_attached(attached(), clock).write.mode("overwrite").parquet(path)
+    done = process_attached(attached(), clock)
+    done.write.mode("overwrite").option("compression", sinks.CODEC).parquet(path)
     processed = events.sparkSession.read.parquet(path)
     sinks.write_outputs(processed, f"{base}/outputs", run, batch_id)
     sinks.write_errors(processed, f"{base}/errors", run, batch_id)

@@ -229,3 +229,18 @@ def test_events_of_the_queries_do_not_join_orders_again(spark):
     keys = [r["doc_key"] for r in docs.select("doc_key").collect()]
     want = [*keys, *(f"x{k}" for k in keys if int(k) % 10 == 0)]
     assert sorted(r["event_id"] for r in events.collect()) == sorted(want)
+
+
+def test_written_contents_are_zstd(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = [("b", f"{i}.pdf", f"line {i}\n".encode() * 50) for i in range(20)]
+    objects = spark.createDataFrame(rows, "bucket string, object_key string, content binary")
+    sinks.write_objects(objects, str(tmp_path / "objects"), slots=2)
+    sinks.write_batch(objects, str(tmp_path / "log"), "run", 0)
+    files = list(tmp_path.rglob("*.parquet"))
+    codecs = {pq.ParquetFile(f).metadata.row_group(0).column(i).compression for f in files for i in (0, 1, 2)}
+    assert codecs == {"ZSTD"} and {p.name for p in (tmp_path / "log").rglob("run_id=run")} == {"run_id=run"}
+    for folder in ("objects", "log"):
+        back = spark.read.parquet(str(tmp_path / folder)).select("bucket", "object_key", "content")
+        assert sorted((r[0], r[1], bytes(r[2])) for r in back.collect()) == sorted(rows)
