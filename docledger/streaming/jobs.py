@@ -116,7 +116,7 @@ def status_changes(log: DataFrame, forget_after: str = FORGET_AFTER) -> DataFram
 
     A job with very many rows is reduced to one for each Arrow batch before its rows are dealt out, and
     state holds one status and one number per job. Jobs share their state in ``STATE_SLOTS`` slots by a hash of
-    the id, as a call of Python for each job costs a hundred times the work in it. A job that has ended leaves
+    the id, as a call of Python for each job costs far more than the work in it. A job that has ended leaves
     it ``forget_after`` later; a row of it that comes later still is reported again, and its number decides who was
     last. A checkpoint of the time when each job had its own state can't be continued.
     """
