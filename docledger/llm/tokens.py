@@ -8,13 +8,13 @@ nothing before it is decoded. A file row is one segment: consecutive whole docum
 
 from __future__ import annotations
 
-import unicodedata
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +25,8 @@ CHUNK_BITS = 8
 RANK_GROUP = 512
 #: A segment ends with the first document that takes it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Words, and parts of words, that one generation of a worker's memory holds, and the longest that it keeps.
-CACHED_WORDS, CACHED_PARTS = 200_000, 120_000
-LONGEST_CACHED = 48
+#: Texts whose words are numbered together: rows or, about, bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 SEGMENT = (
     "part int, segment int, first_id long, n_ids long, doc_id array<long>, doc_end array<long>, "
@@ -103,38 +102,67 @@ class Dac:
 _ENCODERS: dict = {}
 #: Ends of words that are encoded apart from the letters before them: no rule of the vocabulary joins the two.
 ENDS = ".,;:!?*#$%&)"
+#: Letters that stay as they are in normal form and have a lower case of one letter in any context.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f]+"
+#: Words of letters that one call of the library takes, and other words.
+WORDS_A_CALL, OTHERS_A_CALL = 1000, 10_000
+#: The rules under which a word of letters in lower case is one piece, spelled in bytes.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = [
+    {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+WORD_END = "</w>"
+HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+SPELLED = {b: chr(256 + i) for i, b in enumerate(HIDDEN) if b != 0x20}
+
+
+def joins_letters(rules: dict) -> bool:
+    """Whether a tokenizer file has the rules above, so that words of letters need the model alone."""
+    first, then, model = (rules.get(name) or {} for name in ("normalizer", "pre_tokenizer", "model"))
+    others = [rules.get(name) for name in ("truncation", "padding", "post_processor")]
+    others += [model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix")]
+    return (
+        first.get("normalizers") == NORMALIZER
+        and then.get("pretokenizers") == PIECES
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END
+        and not any(others)
+    )
 
 
-class Lately:
-    """Codes used lately, in two generations of bounded size."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, text: str) -> bytes | None:
-        code = self.young.get(text)
-        return self.old.get(text) if code is None else code
-
-    def keep(self, codes: dict[str, bytes]) -> None:
-        if len(self.young) + len(codes) > self.most:
-            self.old, self.young = self.young, {}
-        self.young.update({t: c for t, c in codes.items() if len(t) <= LONGEST_CACHED})
+def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat`, whose lengths are `sizes`, that `which` names, behind each other, and their lengths."""
+    lengths = sizes[which]
+    place = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(lengths) - lengths), lengths)
+    place += np.arange(len(place))
+    return flat[place], lengths
 
 
 class Encoder:
-    """Ids of whole texts.
+    """Ids of whole texts, all from the tokenizers library.
 
     White space ends a token in this vocabulary, and so does the change from letters to the marks in
-    `ENDS`. So a text is cut to words, words to letters and their end, and each part is encoded once.
+    `ENDS`. So Arrow cuts a batch of texts to words and numbers them, and each distinct word is encoded
+    once: its letters by the library's model, many words a call, where the last token of each tells the
+    words apart; its end, and any other word, by the whole tokenizer. The ids are gathered by number.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = Lately(CACHED_WORDS), Lately(CACHED_PARTS)
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.joins = joins_letters(rules)
+        if self.joins:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = WhitespaceSplit()
+            vocabulary = rules["model"]["vocab"]
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -142,60 +170,63 @@ class Encoder:
             _ENCODERS[path] = Encoder(path)
         return _ENCODERS[path]
 
-    @staticmethod
-    def cut(word: str) -> tuple[str, str]:
-        """A word as letters and their end, or as a whole and nothing."""
-        letters = word.rstrip(ENDS)
-        if not letters.isalpha():
-            return word, ""
-        end = word[len(letters) :]
-        if letters.isascii():
-            return letters.lower(), end
-        if not unicodedata.normalize("NFC", letters).lower().isalpha():
-            return word, ""  # a mark comes out of a letter and would join the end
-        return letters, end
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.words.young.get
-        codes = [list(map(get, own)) for own in words]
-        new = {w for own, found in zip(words, codes) if None in found for w, c in zip(own, found) if c is None}
-        if not new:
-            return list(map(b"".join, codes))
-        known = self._codes(new)
-        return [
-            b"".join(found) if None not in found else b"".join([known[w] if c is None else c for w, c in zip(own, found)])
-            for own, found in zip(words, codes)
+        ids, ends = self.ids(pa.array(texts, pa.large_string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends)]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where those of each text end; a null text has none."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        counts = pc.list_value_length(words).to_numpy()
+        numbered = words.flatten().dictionary_encode()
+        ids, lengths = gather(*self._words(numbered.dictionary), numbered.indices.to_numpy())
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, before[np.cumsum(counts)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words behind each other, and their numbers."""
+        bare = pc.utf8_rtrim(words, characters=ENDS)
+        plain = pc.match_substring_regex(bare, LETTERS + "$") if self.joins else pa.array([False] * len(words))
+        letters = pc.utf8_lower(pc.filter(bare, plain)).dictionary_encode()
+        ends = pc.replace_substring_regex(pc.filter(words, plain), LETTERS, "").dictionary_encode()
+        others = pc.filter(words, pc.invert(plain)).to_pylist()
+        found = [
+            self._letters(letters.dictionary.to_pylist()),
+            self._whole(ends.dictionary.to_pylist()),
+            self._whole(["", *others]),
         ]
-
-    def _codes(self, words: set[str]) -> dict[str, bytes]:
-        """Codes of words that are not among the youngest."""
-        out: dict[str, bytes] = {}
-        waiting: list[tuple[str, str, str]] = []
-        old, part, cut = self.words.old.get, self.parts.get, self.cut
-        young_part = self.parts.young.get
-        for word in words:
-            code = old(word)
-            if code is None:
-                letters, end = cut(word)
-                first, second = young_part(letters), young_part(end)
-                if first is None or second is None:
-                    waiting.append((word, letters, end))
-                    continue
-                code = first + second
-            out[word] = code
-        codes = {p: part(p) for p in {p for w in waiting for p in w[1:]}}
-        new = [p for p, code in codes.items() if code is None]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            for p, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                codes[p] = array("I", found.ids).tobytes()
-        for word, letters, end in waiting:
-            out[word] = codes[letters] + codes[end]
-        self.parts.keep(codes)
-        self.words.keep(out)
-        return out
+        flat, sizes = (np.concatenate(x) for x in zip(*found))
+        second, third = len(letters.dictionary), len(letters.dictionary) + len(ends.dictionary)
+        is_plain = np.asarray(plain)
+        parts = np.full((len(words), 2), third)  # the empty word
+        parts[is_plain, 0] = letters.indices.to_numpy()
+        parts[is_plain, 1] = ends.indices.to_numpy() + second
+        parts[~is_plain, 0] = np.arange(len(others)) + third + 1
+        ids, lengths = gather(flat, sizes, parts.ravel())
+        return ids, lengths.reshape(-1, 2).sum(axis=1)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for words of letters in lower case."""
+        calls = [" ".join(words[i : i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
+        spelled = [call.encode().decode("latin-1").translate(SPELLED) for call in calls]
+        found = self.model.encode_batch_fast(spelled, add_special_tokens=False) if calls else []
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(f.ids, np.uint32) for f in found]])
+        ends = np.flatnonzero(self.ends_word[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(ends) != len(words):  # a byte that the vocabulary lacks
+            return self._whole(words)
+        return flat, np.diff(ends, prepend=0)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for any words."""
+        flat, sizes = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(words), OTHERS_A_CALL):
+            for f in self.tokenizer.encode_batch_fast(words[i : i + OTHERS_A_CALL], add_special_tokens=False):
+                flat.append(np.array(f.ids, np.uint32))
+                sizes.append(len(f.ids))
+        return np.concatenate(flat), np.array(sizes, np.int64)
 
 
 def write_tokens(
@@ -232,11 +263,11 @@ def write_tokens(
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for batch in slices(batches):
-            found = encoder.encode([body or "" for body in batch.column(1).to_pylist()])
-            for name, code in zip(batch.column(0).to_pylist(), found):
-                codes.append(code + end)
-                size += len(codes[-1]) // 4
+        for batch in slices(batches, BATCH_ROWS, BATCH_BYTES):
+            ids, stops = encoder.ids(batch.column(1))
+            for name, a, b in zip(batch.column(0).to_pylist(), [0, *stops], stops):
+                codes += [ids[a:b].astype("<u4").tobytes(), end]
+                size += int(b - a) + 1
                 names.append(name)
                 ends.append(size)
                 if size >= segment_ids:

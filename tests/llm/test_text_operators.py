@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,6 +139,22 @@ def test_encoder_is_the_tokenizer():
     assert encoder.encode(texts) == wanted
 
 
+def test_words_of_letters_need_the_model_alone():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    letters = [c for c in map(chr, range(0x530)) if re.match(tokens.LETTERS, c)]
+    assert len(letters) > 700 and encoder.joins
+    texts = [f"{a}{b} x{b}{a}. {a}\x0b{b}b!?\u00a0{a}" for a, b in zip(letters, letters[7:] + letters[:7])]
+    wanted = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen, whole = [], encoder._whole
+    encoder._whole = lambda words: seen.extend(words) or whole(words)
+    assert encoder.encode(texts) == wanted
+    seen.clear()
+    ids, ends = encoder.ids(pa.array(["Plain words, plain \u0439 words.", None, "", "it's plain"]))
+    assert sorted(filter(None, seen)) == [",", ".", "it's"]  # once each, whatever stands beside them
+    assert ends[0] == ends[1] == ends[2] < ends[3] == len(ids)
+    assert not tokens.joins_letters({"normalizer": None, "pre_tokenizer": None, "model": {"type": "BPE"}})
+
+
 def test_token_files(spark):
     rows = [(i * 3 % 101, f"Some {i} words, é#{'x ' * (i % 50)}", "b") for i in range(101)]
     rows += [(500, None, "b"), (501, "", "b"), (502, "long " * 20_000, "b")]
