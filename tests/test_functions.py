@@ -161,3 +161,21 @@ def test_lines_are_cut_as_by_one_pattern(column):
 def test_the_cut_of_lines_compiles_no_pattern_for_a_row(spark):
     frame = spark.createDataFrame([("a",)], "x string").select(X.clean_line_array(F.col("x")))
     assert ", \n, -1)" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_need_no_pattern_at_line_ends(spark):
+    """A pattern that looks behind at every line end took most of the time of all parsing queries."""
+    frame = spark.createDataFrame([("a",)], "x string").select(X.clean_line_array(F.col("x")))
+    assert "(?<= )" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rare_blanks_and_breaks_are_found_by_their_bytes(column):
+    """Every blank and break there is, alone and beside others, between letters of one to three bytes."""
+    blanks = [" ", "\t", "\x1f", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", "　"]
+    breaks = ["\n", "\x0b", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
+    for a in ("a", "é", "€"):
+        texts = [f"{a}{x}{y}{a}" for x in blanks for y in ("", *blanks)]
+        assert column(texts, X.clean_line_array) == [[f"{a} {a}"]] * len(texts)
+        texts = [f"{x}{a}{x}{y}{z}{a}{y}" for x in blanks for y in breaks for z in (" ", " ", "\r")]
+        assert column(texts, X.clean_line_array) == [[a, a]] * len(texts)
+    assert column(["a–b​⁠c", None], X.clean_line_array) == [["a–b​⁠c"], None]
