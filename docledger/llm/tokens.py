@@ -104,6 +104,8 @@ _ENCODERS: dict = {}
 ENDS = ".,;:!?*#$%&)"
 #: Letters that stay as they are in normal form and have a lower case of one letter in any context.
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f]+"
+#: Runs that are gathered at once.
+GATHERED = 1 << 16
 #: Words of letters that one call of the library takes, and other words.
 WORDS_A_CALL, OTHERS_A_CALL = 1000, 10_000
 #: The rules under which a word of letters in lower case is one piece, spelled in bytes.
@@ -134,10 +136,17 @@ def joins_letters(rules: dict) -> bool:
 
 def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `flat`, whose lengths are `sizes`, that `which` names, behind each other, and their lengths."""
+    starts = np.cumsum(sizes) - sizes
     lengths = sizes[which]
-    place = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(lengths) - lengths), lengths)
-    place += np.arange(len(place))
-    return flat[place], lengths
+    ends = np.cumsum(lengths)
+    out = np.empty(int(lengths.sum()), flat.dtype)
+    for i in range(0, len(which), GATHERED):  # places take several times the memory of what lies there
+        some = slice(i, i + GATHERED)
+        first, last = (int(ends[i] - lengths[i]), int(ends[some][-1]))
+        place = np.repeat(starts[which[some]] - (ends[some] - lengths[some]), lengths[some])
+        place += np.arange(first, last)
+        out[first:last] = flat[place]
+    return out, lengths
 
 
 class Encoder:
@@ -182,6 +191,7 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         counts = pc.list_value_length(words).to_numpy()
         numbered = words.flatten().dictionary_encode()
+        del words  # the numbers and the distinct words are all that is read from here on
         ids, lengths = gather(*self._words(numbered.dictionary), numbered.indices.to_numpy())
         before = np.concatenate([[0], np.cumsum(lengths)])
         return ids, before[np.cumsum(counts)]

@@ -189,3 +189,17 @@ def test_items_without_an_id_mark_words_and_have_no_name(spark):
     got = {r["doc_id"]: r for r in decontaminate.report(decontaminate.find_benchmark(docs, items)).collect()}
     assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (3, 1, True)
     assert got[1]["items_sha256"] == decontaminate.sha256_of(["4"]) and got[2]["n_hit"] == 0
+
+
+def test_ids_are_gathered_in_parts(monkeypatch):
+    """The whole gather held places of eight bytes for all ids of a batch, several times over."""
+    flat, sizes = np.arange(50, dtype=np.uint32), np.array([3, 0, 7, 40])
+    which = np.random.default_rng(3).integers(0, 4, 1000)
+    expected = np.concatenate([flat[a : a + n] for a, n in zip((np.cumsum(sizes) - sizes)[which], sizes[which])])
+    most, ones = [], tokens.np.repeat
+    monkeypatch.setattr(tokens, "GATHERED", 64)
+    monkeypatch.setattr(tokens.np, "repeat", lambda *a: (most.append(len(a[0])), ones(*a))[1])
+    found, lengths = tokens.gather(flat, sizes, which)
+    assert found.tolist() == expected.tolist() and lengths.tolist() == sizes[which].tolist()
+    assert max(most) == 64
+    assert len(tokens.gather(flat, sizes, which[:0])[0]) == 0
