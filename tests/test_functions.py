@@ -171,11 +171,11 @@ def test_lines_need_no_pattern_at_line_ends(spark):
 
 def test_rare_blanks_and_breaks_are_found_by_their_bytes(column):
     """Every blank and break there is, alone and beside others, between letters of one to three bytes."""
-    blanks = [" ", "\t", "\x1f", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", "　"]
-    breaks = ["\n", "\x0b", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
+    blanks = [" ", "\t", "\x1f", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"]
+    breaks = ["\n", "\x0b", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
     for a in ("a", "é", "€"):
         texts = [f"{a}{x}{y}{a}" for x in blanks for y in ("", *blanks)]
         assert column(texts, X.clean_line_array) == [[f"{a} {a}"]] * len(texts)
-        texts = [f"{x}{a}{x}{y}{z}{a}{y}" for x in blanks for y in breaks for z in (" ", " ", "\r")]
+        texts = [f"{x}{a}{x}{y}{z}{a}{y}" for x in blanks for y in breaks for z in (" ", "\u2003", "\r")]
         assert column(texts, X.clean_line_array) == [[a, a]] * len(texts)
-    assert column(["a–b​⁠c", None], X.clean_line_array) == [["a–b​⁠c"], None]
+    assert column(["a\u2013b\u200b\u2060c", None], X.clean_line_array) == [["a\u2013b\u200b\u2060c"], None]
