@@ -228,13 +228,16 @@ def _meet(blocks: DataFrame, chunks: DataFrame, cells: int, keys: list[str]) ->
     """Each chunk beside each block with the same keys.
 
     Every anchor is a stated query and meets all rows. Blocks are dealt to `cells` and chunks, which are
-    small, are copied to each cell, so a hot label or dimension is spread over all of them.
+    small, are copied to each cell, so a hot label or dimension is spread over all of them. The copies are
+    dealt by a shuffle: the planner sees the stored chunks only and would broadcast all copies through the driver.
     """
     dealt = blocks.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
     copied = chunks.withColumnsRenamed({"ids": "anchor_ids", "n": "anchors"}).withColumn(
         "cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
     )
-    return dealt.join(copied, [*keys, "cell"])
+    on = [*keys, "cell"]
+    # Counted, so that adaptive execution doesn't put many cells, small but long to scan, into one task.
+    return dealt.repartition(cells, *on).hint("merge").join(copied.repartition(cells, *on), on)
 
 
 def hard_negatives(
@@ -293,15 +296,17 @@ def hard_negatives(
 
     least, most = percent
     asked_of = best.groupBy("chunk").agg(F.collect_list(F.struct("i", "score")).alias("wanted"))
+    # Two flat arrays: each chunk is copied to every cell, and an array of structs takes three times their bytes.
+    asked_of = asked_of.select("chunk", F.col("wanted.i").alias("wanted_i"), F.col("wanted.score").alias("wanted_score"))
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block, _, anchor in _met(batches):
             out = []
             others = np.flatnonzero(block.label != row["label"])
             wanted: dict[int, set[int]] = {}
-            for w in row["wanted"]:
-                if least * w["score"] <= most * w["score"]:
-                    wanted.setdefault(w["i"], set()).add(w["score"])
+            for i, score in zip(row["wanted_i"], row["wanted_score"]):
+                if least * score <= most * score:
+                    wanted.setdefault(i, set()).add(score)
             for i, scores in wanted.items() if len(others) else ():
                 ordered = sorted(scores)
                 windows = [(-(-least * s // 100), most * s // 100) for s in ordered]
@@ -309,8 +314,8 @@ def hard_negatives(
                     out += [(row["chunk"], i, s, v, n) for v, n in zip(value.tolist(), block.ids[own].tolist())]
             yield _found(out)
 
-    every = _meet(blocks, chunks.join(asked_of, "chunk"), cells, ["dim"])
-    held = every.select(*pair, "wanted").mapInArrow(windowed, FOUND)
+    every = _meet(blocks, chunks.hint("merge").join(asked_of, "chunk"), cells, ["dim"])
+    held = every.select(*pair, "wanted_i", "wanted_score").mapInArrow(windowed, FOUND)
     order = Window.partitionBy("chunk", "i", "positive_score").orderBy(F.desc("score"), "vec_id")
     held = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     taken = held.select(
@@ -318,7 +323,8 @@ def hard_negatives(
         F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"),
     )
     names = chunks.mapInArrow(_anchor_names, "chunk long, i int, anchor_id long")
-    named = best.join(taken, ["chunk", "i", "score"]).join(names, ["chunk", "i"])
+    # Stored places take a tenth of their size in a broadcast.
+    named = best.hint("merge").join(taken, ["chunk", "i", "score"]).hint("merge").join(names, ["chunk", "i"])
     return named.select(
         "anchor_id",
         F.col("vec_id").alias("positive_id"),

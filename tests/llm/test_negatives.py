@@ -62,6 +62,17 @@ def test_repeated_rows_are_candidates_and_one_anchor(spark):
     assert set(map(tuple, got.collect())) == plain(rows)
 
 
+def test_copied_chunks_are_not_broadcast(spark):
+    """Copies for each cell would pass through the driver, however small the stored chunks look."""
+    rows = [r for r in vectors(3, 120) if None not in r]
+    got = negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    blocks = spark.createDataFrame([(1, 2, 3)], "block long, dim int, label long")
+    chunks = spark.createDataFrame([(5, 2, 3, 1, b"")], "chunk long, dim int, label long, n int, ids binary")
+    met = negatives._meet(blocks, chunks, 4, ["dim", "label"])
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
+
+
 def test_empty_tables_and_lone_labels(spark):
     anchor = F.col("vec_id") % 50 == 0
     assert negatives.hard_negatives(spark.createDataFrame([], SCHEMA), anchor).collect() == []
